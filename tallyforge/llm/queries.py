@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import conversations
+from tallyforge.llm import conversations, evalleak
 from tallyforge.runtime import table
 
 _CONVERSATION = ["org_id", "session_id", "owner_account_id"]
@@ -25,8 +25,18 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return turns.select(*_CONVERSATION, F.col("turn").cast("bigint").alias("turn"), "role", "text")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    leaks = evalleak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks.select("doc_id", "item_id").distinct()
+
+
+def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return evalleak.without_leaks(documents, evalleak.find_leaks(documents, table(spark, d, "eval_items")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_conversations)}
+    return {f.__name__: f for f in (p6_found, p6_conversations, p8_found, p8_cleaned)}
 
 
 _TURNS = r"""
