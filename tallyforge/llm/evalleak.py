@@ -4,8 +4,9 @@ The words of all evaluation texts are numbered and their five-word sequences go
 into a broadcast hash table; the evaluation set is bounded (``MAX_EVAL_WORDS`` a
 block; larger sets are worked off in blocks).  Every document is read once, without a
 shuffle: a five-word sequence found in the table is a candidate, and each candidate is
-verified by aligning document and item outwards from it.  Five words lose nothing: of
-20 words with two replaced, dropped or added at least six in a row are intact.
+verified by aligning document and item outwards from it.  Nothing is lost: of 20 words
+with two replaced, dropped or added at least six in a row are intact, and longer spans
+with one edit in ten words have longer runs.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 GRAM = 5
 MIN_WORDS = 20
 ONE_IN = 10
+LEAST_RUN = 6  # a span of n >= 20 words with n / 10 edits has at least so many in a row intact
 MAX_EDITS = 12
 MAX_EVAL_WORDS = 2_000_000
 
@@ -52,8 +54,10 @@ def _key(word: str) -> str:
 
 def words(text: str | None) -> list[str]:
     """Words without case, punctuation, spacing, markup and labels; dates, times and hyphenated words are one word."""
-    found = _WORD.findall(_plain(text or ""))
-    return [_key(w) for w in found]
+    text = _plain(text or "")
+    if text.isascii():
+        return [w if w.isalnum() else "".join(filter(str.isalnum, w)) for w in _WORD.findall(text.lower())]
+    return [_key(w) for w in _WORD.findall(text)]
 
 
 @dataclass
@@ -127,41 +131,50 @@ def eval_blocks(items: DataFrame) -> Iterator[EvalIndex]:
         yield index()
 
 
-def _reach(item: list[int], doc: list[int], step: int) -> list[int]:
-    """How many words of ``item`` the start of ``doc`` covers with 0, 1, 2 ... edits (both read in ``step``)."""
-    if step < 0:
-        item, doc = item[::-1], doc[::-1]
+def _reach(item: list[int], doc: list[int]) -> Iterator[int]:
+    """How many words of ``item`` the start of ``doc`` covers with 0, 1, 2 ... edits."""
     n, m = len(item), len(doc)
-
-    def slide(i: int, d: int) -> int:
-        j = i + d
-        while i < n and j < m and item[i] == doc[j]:
-            i, j = i + 1, j + 1
-        return i
-
-    front = {0: slide(0, 0)}
-    out = [front[0]]
-    for _ in range(MAX_EDITS):
+    i = 0
+    while i < n and i < m and item[i] == doc[i]:
+        i += 1
+    front = {0: i}
+    best = i
+    while True:
+        yield best
         after: dict[int, int] = {}
         for d, i in front.items():
             for nd, ni in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):
                 if ni <= n and 0 <= ni + nd <= m and ni > after.get(nd, -1):
                     after[nd] = ni
-        front = {d: slide(i, d) for d, i in after.items()}
-        out.append(max([out[-1], *front.values()]))
-    return out
+        front = {}
+        for d, i in after.items():
+            while i < n and i + d < m and item[i] == doc[i + d]:
+                i += 1
+            front[d] = i
+            if i > best:
+                best = i
 
 
 def _verified(item: list[int], doc: list[int], i: int, j: int) -> tuple[int, int] | None:
-    """The doc words [from, to) of a long enough span around the shared words item[i:], doc[j:], if there is one."""
+    """The doc words [from, to) of a long enough span around the shared words item[i:], doc[j:], if there is one.
+
+    Around the longest intact run of a leaking span, four edits reach 20 words; where they
+    do not, the search ends.
+    """
     margin = len(item) + MAX_EDITS
-    right = _reach(item[i:], doc[j : j + margin], 1)
-    left = _reach(item[:i], doc[max(0, j - margin) : j], -1)
+    to_right = _reach(item[i:], doc[j : j + margin])
+    to_left = _reach(item[:i][::-1], doc[max(0, j - margin) : j][::-1])
+    right: list[int] = []
+    left: list[int] = []
     best = None
-    for a, r in enumerate(right):
-        for b, le in enumerate(left):
-            if r + le >= MIN_WORDS and (a + b) * ONE_IN <= r + le and (best is None or r + le > best[1] - best[0]):
-                best = (max(0, j - le), min(len(doc), j + r))
+    for edits in range(MAX_EDITS + 1):
+        right.append(next(to_right))
+        left.append(next(to_left))
+        r, le = max(((right[a], left[edits - a]) for a in range(edits + 1)), key=sum)
+        if r + le >= max(MIN_WORDS, edits * ONE_IN) and (best is None or r + le > best[1] - best[0]):
+            best = (max(0, j - le), min(len(doc), j + r))
+        if edits == 4 and r + le < MIN_WORDS or r == len(item) - i and le == i:
+            break
     return best
 
 
@@ -183,7 +196,7 @@ def leaks_in(index: EvalIndex, ids: list[int]) -> dict[int, list[tuple[int, int]
             while i + k < len(item) and j + k < n and item[i + k] == ids[j + k]:
                 k += 1
             done[text, j - i] = j + k - GRAM  # seeds within the run lead to the same alignment
-            if any(a <= j < b for a, b in found[text]):
+            if k < LEAST_RUN or any(a <= j < b for a, b in found[text]):
                 continue
             span = _verified(item, ids, i, j)
             if span:
