@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import conversations, evalleak
+from tallyforge.llm import conversations, evalleak, spampages
 from tallyforge.runtime import table
 
 _CONVERSATION = ["org_id", "session_id", "owner_account_id"]
@@ -35,8 +35,12 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return evalleak.without_leaks(documents, evalleak.find_leaks(documents, table(spark, d, "eval_items")))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spampages.find_spam(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_conversations, p8_found, p8_cleaned)}
+    return {f.__name__: f for f in (p6_found, p6_conversations, p8_found, p8_cleaned, p10_found)}
 
 
 _TURNS = r"""
