@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import conversations, evalleak, spampages
+from tallyforge.llm import conversations, evalleak, pairs, spampages
 from tallyforge.runtime import table
 
 _CONVERSATION = ["org_id", "session_id", "owner_account_id"]
@@ -25,6 +25,10 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return turns.select(*_CONVERSATION, F.col("turn").cast("bigint").alias("turn"), "role", "text")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.find_defects(table(spark, d, "conversation_records"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     leaks = evalleak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return leaks.select("doc_id", "item_id").distinct()
@@ -40,7 +44,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_conversations, p8_found, p8_cleaned, p10_found)}
+    return {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p8_found, p8_cleaned, p10_found)}
 
 
 _TURNS = r"""
