@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import conversations, evalleak, pairs, spampages
-from tallyforge.runtime import table
+from tallyforge.llm import conversations, evalleak, mixing, pairs, spampages
+from tallyforge.runtime import checkpoint, table
 
 _CONVERSATION = ["org_id", "session_id", "owner_account_id"]
 
@@ -39,12 +39,27 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return evalleak.without_leaks(documents, evalleak.find_leaks(documents, table(spark, d, "eval_items")))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens per document; sources without case, outer blanks, other separators and a plural's s."""
+    source = F.regexp_replace(F.regexp_replace(F.lower(F.trim("source")), r"[\s\-]+", "_"), "s$", "")
+    return checkpoint(mixing.count_tokens(table(spark, d, "documents").withColumn("source", source), "doc_id", "source"))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(_sized(spark, d), table(spark, d, "mix_targets"), "doc_id", "source")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares_reached(mixing.mixture(_sized(spark, d), targets, "doc_id", "source"), targets, "source")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spampages.find_spam(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p8_found, p8_cleaned, p10_found)}
+    return {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p8_found, p8_cleaned, p9_mixture, p9_shares, p10_found)}
 
 
 _TURNS = r"""
