@@ -149,8 +149,8 @@ def attributes_asof(
     salted = not hot.isEmpty()
     on = ["__key", "__bucket"]
     if salted:
-        spread = F.pmod(F.xxhash64(row_id), F.coalesce("salts", F.lit(1))).cast("int")
-        out = out.join(F.broadcast(hot), on, "left").withColumn("__salt", spread).drop("salts")
+        spread = F.pmod(F.xxhash64(row_id), F.coalesce("__salts", F.lit(1))).cast("int")
+        out = out.join(F.broadcast(hot), on, "left").withColumn("__salt", spread).drop("__salts")
         on = [*on, "__salt"]
     for i, name in enumerate(attributes):
         h = _history(stretches, F.col(f"__best.v{i}"))
@@ -158,7 +158,7 @@ def attributes_asof(
         h = h.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("__start") / width).cast("int"), last)))
         if salted:
             h = h.join(F.broadcast(hot), ["__key", "__bucket"], "left")
-            h = h.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+            h = h.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
         h = h.select(*on, F.col("__start").alias(f"__from{i}"), F.col("__end").alias(f"__to{i}"), F.col("__value").alias(f"__value{i}"))
         match = [out[c] == h[c] for c in on] + [out["__e"] >= h[f"__from{i}"], out["__e"] < h[f"__to{i}"]]
         carried = [out[c] for c in out.columns]

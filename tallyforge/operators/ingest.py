@@ -50,16 +50,16 @@ def dispositions(df: DataFrame, row_id: str = "ods_id") -> DataFrame:
     """
     valid = df.withColumn("reject_reason", reject_reason())
     good = valid.filter(F.col("reject_reason").isNull())
-    first = good.groupBy("org_id", "event_id").agg(F.min(F.struct(row_id, "content_hash")).alias("first"))
-    hashes = (F.coalesce("first.content_hash", F.lit("")), F.coalesce("content_hash", F.lit("")))
+    first = good.groupBy("org_id", "event_id").agg(F.min(F.struct(row_id, "content_hash")).alias("__first"))
+    hashes = (F.coalesce("__first.content_hash", F.lit("")), F.coalesce("content_hash", F.lit("")))
     differs = (hashes[0] != "") & (hashes[1] != "") & (hashes[0] != hashes[1])
     fate = (
         F.when(F.col("reject_reason").isNotNull(), "rejected")
-        .when(F.col(row_id) != F.col(f"first.{row_id}"), F.when(differs, "conflict").otherwise("duplicate"))
+        .when(F.col(row_id) != F.col(f"__first.{row_id}"), F.when(differs, "conflict").otherwise("duplicate"))
         .when((F.col("ingest_status") == "quarantined") | hash_mismatch(), "quarantined")
         .otherwise("accepted")
     )
-    return valid.join(first, ["org_id", "event_id"], "left").withColumn("disposition", fate).drop("first")
+    return valid.join(first, ["org_id", "event_id"], "left").withColumn("disposition", fate).drop("__first")
 
 
 def tally(disposed: DataFrame) -> DataFrame:

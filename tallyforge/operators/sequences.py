@@ -42,19 +42,25 @@ def contiguous(seqs: DataFrame, keys: list[str]) -> DataFrame:
     return per.join(reach, keys, "left").select(*keys, F.coalesce("reach", "base").alias("contiguous_seq"), "max_seen_seq")
 
 
-def missing(seqs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seq) of every number between 1 and the largest seen that is not there.
+def gaps(seqs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first_seq, last_seq) of every run of missing numbers between 1 and the largest seen.
 
-    Expected numbers are made block by block, only for blocks that lack some.
+    Neighbours are compared within a block; a block's first number is compared with the largest
+    of the blocks before, of which a source has one row for each 65,536 numbers.
     """
-    blocks = seqs.groupBy(*keys, _block().alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    tops = seqs.groupBy(*keys).agg(F.max("seq").alias("top"))
-    every = tops.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("top") - 1) / BLOCK))))
-    lacking = every.join(blocks, [*keys, "block"], "left")
-    size = F.least(F.lit(BLOCK).cast("long"), F.col("top") - F.col("block") * BLOCK)
-    lacking = lacking.filter(F.coalesce("n", F.lit(0)) < size)
-    expected = lacking.select(*keys, F.explode(F.sequence(F.col("block") * BLOCK + 1, F.col("block") * BLOCK + size)).alias("seq"))
-    return expected.join(seqs, [*keys, "seq"], "left_anti")
+    rows = seqs.withColumn("block", _block())
+    tops = rows.groupBy(*keys, "block").agg(F.max("seq").alias("top"))
+    earlier = F.lag("top", 1).over(Window.partitionBy(*keys).orderBy("block"))
+    tops = tops.select(*keys, "block", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    inside = F.lag("seq").over(Window.partitionBy(*keys, "block").orderBy("seq"))
+    linked = rows.withColumn("before", inside).join(tops, [*keys, "block"])
+    first = F.coalesce("before", "earlier") + 1
+    return linked.select(*keys, first.alias("first_seq"), (F.col("seq") - 1).alias("last_seq")).filter("first_seq <= last_seq")
+
+
+def missing(seqs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, seq) of every missing number.  Long gaps make many rows: prefer :func:`gaps` for reports."""
+    return gaps(seqs, keys).select(*keys, F.explode(F.sequence("first_seq", "last_seq")).alias("seq"))
 
 
 def advance(watermarks: DataFrame, batch: DataFrame, keys: list[str], floors: DataFrame | None = None) -> DataFrame:

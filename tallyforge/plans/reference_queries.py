@@ -199,15 +199,15 @@ def _delivery() -> None:
     seqs = "seqs AS (SELECT DISTINCT source_id, source_seq AS seq FROM usage_event_ods WHERE source_seq >= 1 AND source_id IS NOT NULL)"
     mark = "SELECT source_id, coalesce(max(seq) FILTER (seq = rn), 0) AS contiguous_seq, max(seq) AS max_seen_seq FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY seq) AS rn FROM seqs) GROUP BY 1"
     _add("watermark_contiguous", lambda s, d: sequences.contiguous(sequences.received(ods(s, d), source), source), f"WITH {seqs} {mark}", False)
-    gaps = "gaps AS (SELECT source_id, unnest(range(1, top)) AS seq FROM (SELECT source_id, max(seq) AS top FROM seqs GROUP BY 1) EXCEPT SELECT * FROM seqs)"
-    _add("missing_seqs", lambda s, d: sequences.missing(sequences.received(ods(s, d), source), source), f"WITH {seqs}, {gaps} SELECT source_id, seq FROM gaps", False)
+    gaps = """gaps AS (SELECT * FROM (SELECT source_id, lag(seq, 1, 0) OVER (PARTITION BY source_id ORDER BY seq) + 1 AS first_seq, seq - 1 AS last_seq FROM seqs) WHERE first_seq <= last_seq)"""
+    _add("missing_seqs", lambda s, d: sequences.gaps(sequences.received(ods(s, d), source), source), f"WITH {seqs}, {gaps} SELECT * FROM gaps", False)
 
     def ledger(s: SparkSession, d: str) -> DataFrame:
-        gone = sequences.missing(sequences.received(ods(s, d), source), source).filter(F.pmod("seq", F.lit(2)) == 0)
+        gone = sequences.gaps(sequences.received(ods(s, d), source), source).select(*source, F.col("first_seq").alias("seq"))
         late = sequences.received(ods(s, d), source).filter(F.pmod("seq", F.lit(97)) == 0)
         return gone.unionByName(late)
 
-    book = "book AS (SELECT source_id, seq FROM gaps WHERE seq % 2 = 0 UNION ALL SELECT source_id, seq FROM seqs WHERE seq % 97 = 0)"
+    book = "book AS (SELECT source_id, first_seq AS seq FROM gaps UNION ALL SELECT source_id, seq FROM seqs WHERE seq % 97 = 0)"
     _add(
         "known_loss_counts",
         lambda s, d: sequences.known_losses(ods(s, d), ledger(s, d), source),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,14 +56,6 @@ def normal_id(c: Column | str) -> Column:
     return F.lower(F.btrim(c, F.lit(BLANKS)))
 
 
-def free_name(columns: Iterable[str], wish: str) -> str:
-    """``wish``, lengthened until no column has that name (Spark compares without case)."""
-    taken = {c.lower() for c in columns}
-    while wish.lower() in taken:
-        wish += "_"
-    return wish
-
-
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
     """Key combinations with more than ``rows_per_task`` rows and their number of salts.
 
@@ -72,7 +63,7 @@ def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
     """
     return (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col("rows") > rows_per_task)
-        .select(*keys, F.ceil(F.col("rows") / rows_per_task).cast("int").alias("salts"))
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .filter(F.col("__rows") > rows_per_task)
+        .select(*keys, F.ceil(F.col("__rows") / rows_per_task).cast("int").alias("__salts"))
     )
