@@ -26,7 +26,7 @@ MIN_WORDS = 20
 ONE_IN = 10
 LEAST_RUN = 6  # a span of n >= 20 words with n / 10 edits has at least so many in a row intact
 MAX_EDITS = 12
-MAX_EVAL_WORDS = 2_000_000
+MAX_EVAL_WORDS = 300_000  # about 60 MB of index a Python worker
 
 _JOINERS = "-'’‐‑­​‌‍⁠﻿"
 _WORD = re.compile(rf"[^\W_]+(?:(?:[{_JOINERS}](?=[^\W_])|(?<=\d)[:./,](?=\d))[^\W_]+)*")
