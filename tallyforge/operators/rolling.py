@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.runtime import checkpoint
+
 
 def daily_totals(df: DataFrame, entity: list[str], day: str, measures: list[str]) -> DataFrame:
     """One row per entity and day.  Rows with a NULL entity column or day belong to no calendar."""
@@ -40,7 +42,8 @@ def rolling_totals(
     totals = daily_totals(df, entity, day, measures)
     number = F.datediff(F.col("day"), F.lit("1970-01-01").cast("date"))
     bucket = F.floor(number / longest).cast("int")
-    totals = totals.select(*entity, "day", *measures)
+    # Both sides of the join read the totals: written once, so that the events are scanned once.
+    totals = checkpoint(totals.select(*entity, "day", *measures))
 
     calendar = (
         totals.groupBy(*entity)
