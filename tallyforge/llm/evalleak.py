@@ -207,8 +207,10 @@ def leaks_in(index: EvalIndex, ids: list[int]) -> dict[int, list[tuple[int, int]
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, spans): each document and item it leaks, with the spans as character offsets.
 
-    NULL and empty texts, texts under 20 words and items under 20 words leak nothing; texts of
-    any length are read whole; documents that repeat appear once per row.
+    A leak is 20 or more consecutive item words of which at most one in ten is replaced,
+    dropped or added in the document; the edits may lie at the ends, so 18 words in a row of an
+    item of 20 count.  NULL and empty texts and items under 20 words leak nothing; texts of any
+    length are read whole; documents that repeat appear once per row.
     """
     spark = documents.sparkSession
     kind = documents.schema[doc_id].dataType.simpleString()
