@@ -72,8 +72,12 @@ class KSlackStream:
         if last is not None:
             rows = rows.unionByName(self.spark.read.parquet(f"{self.root}/buffer/batch={last}"))
             stored = self.spark.read.parquet(f"{self.root}/clock/batch={last}").first()[0]
-            clock = max(c for c in (clock, stored) if c is not None) if clock or stored else None
+            clock = max((c for c in (clock, stored) if c is not None), default=None)
         marked = kslack.buffered(rows, self.event_time, self.arrival, self.lateness_days)
+        if last is not None and stored is not None:
+            # What was received in time but comes in after its period was released changes nothing any more.
+            gone = F.col("outcome").isNotNull() & (F.col("release_at") <= F.lit(stored))
+            marked = marked.withColumn("outcome", F.when(gone, kslack.REJECTED).otherwise(F.col("outcome")))
         timely = marked.filter(F.col("outcome").isin(kslack.ON_TIME, kslack.CORRECTS))
         due = F.col("release_at") <= F.lit(clock)
         write_once(timely.filter(~due).select(*columns), f"{self.root}/buffer", batch_id)

@@ -76,3 +76,14 @@ def test_stream_releases_once_the_clock_has_passed(spark, tmp_path):
         stream.process(spark.createDataFrame(part, SCHEMA), n)
     stream.process(spark.createDataFrame(parts[3], SCHEMA), 3)  # repeated batch
     assert finals(stream.final()) == brute(data)
+
+
+def test_stream_gives_each_period_one_final_row(spark, tmp_path):
+    stream = KSlackStream(spark, str(tmp_path), "e", "a", "id", "v", "s")
+    row = lambda i, a: (i, T, a, 1, "ok", "")
+    stream.process(spark.createDataFrame([row(1, T)], SCHEMA), 0)
+    stream.process(spark.createDataFrame([row(2, T + dt.timedelta(days=9))], SCHEMA), 1)
+    stream.process(spark.createDataFrame([row(3, T + H)], SCHEMA), 2)
+    assert [tuple(r) for r in stream.final().select("events", "last_id").collect()] == [(1, 1)]
+    rejected = spark.read.parquet(f"{tmp_path}/rejected")
+    assert {r["id"] for r in rejected.collect()} == {2, 3}
