@@ -11,6 +11,7 @@ are merged from time to time; a manifest file names the runs in force.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from math import ceil, log2
 
@@ -82,20 +83,36 @@ class IdentifierIndex:
     def bits_for(identifiers: int) -> int:
         return max(4, min(28, ceil(log2(max(1, identifiers) / _IDS_PER_PREFIX)) if identifiers > _IDS_PER_PREFIX else 4))
 
-    def _manifests(self) -> DataFrame | None:
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        fs = fs_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.schema("version int, runs array<string>").json(f"{self.path}/manifest/*") if fs.exists(fs_path) else None
+    def _at(self, name: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{name}".rstrip("/"))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def runs(self) -> tuple[int, list[str]]:
         """Version and names of the runs in force; the latest manifest decides."""
-        manifests = self._manifests()
-        newest = manifests.orderBy(F.desc("version")).first() if manifests is not None else None
-        return (newest["version"], list(newest["runs"])) if newest else (0, [])
+        fs, folder = self._at("")
+        names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+        names = [n for n in names if n.endswith(".json")]
+        if not names:
+            return 0, []
+        stream = fs.open(self._at(names[-1])[1])
+        try:
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return found["version"], found["runs"]
 
     def _publish(self, version: int, runs: list[str]) -> None:
-        one = self.spark.createDataFrame([(version, runs)], "version int, runs array<string>")
-        one.coalesce(1).write.mode("overwrite").json(f"{self.path}/manifest/{version:08d}")
+        """Written aside and renamed, so that a reader sees a whole manifest or none."""
+        fs, aside = self._at(f"{version:08d}.new")
+        out = fs.create(aside, True)
+        try:
+            out.write(bytearray(json.dumps({"version": version, "runs": runs}).encode()))
+        finally:
+            out.close()
+        final = self._at(f"{version:08d}.json")[1]
+        fs.delete(final, False)
+        if not fs.rename(aside, final):
+            raise OSError(f"cannot publish {final}")
 
     def read(self, runs: list[str]) -> DataFrame:
         if not runs:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import columns as C
 from tallyforge.operators import asof
 from tallyforge.operators.ingest import dispositions, generates
+from tallyforge.runtime import checkpoint
 
 _TEXT = ("org_id", "account_id", "seat_id", "virtual_key_id", "virtual_key_alias", "provider_code", "model", "request_status", "session_id", "app_slug")
 _NUMBERS = ("input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "output_tokens", "total_tokens")
@@ -46,7 +47,8 @@ def base_facts(ods: DataFrame) -> DataFrame:
 
 def project(ods: DataFrame, control: DataFrame) -> DataFrame:
     """Facts, with the seat filled in from the control event where the event named none."""
-    facts = control_lookup(base_facts(ods), control)
+    # The lookup reads its events several times: the deliveries are sorted out once.
+    facts = control_lookup(checkpoint(base_facts(ods)), control)
     seat = F.coalesce(F.nullif("seat_id", F.lit("")), "control_seat_id", F.lit(""))
     return facts.withColumn("seat_id", seat)
 

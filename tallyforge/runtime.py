@@ -50,6 +50,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for costly work per row: a few small files are spread over all cores, many partitions stay as they are.
+
+    For scans and checkpoints: of other plans, counting the partitions would run the shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def normal_id(c: Column | str) -> Column:
     """An identifier without outer blanks and case."""
     c = F.col(c) if isinstance(c, str) else c
