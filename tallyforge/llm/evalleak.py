@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.runtime import spread
+
 GRAM = 5
 MIN_WORDS = 20
 ONE_IN = 10
@@ -77,33 +79,42 @@ class EvalIndex:
         self.items.append(items)
 
 
-def standing_instructions(passages: list[tuple[str, str]], least: int = 3, share: float = 0.05) -> dict[str, list[list[str]]]:
-    """Per suite, the opening sentences (as words) that several different passages share.
+def openings(passage: str) -> list[str]:
+    """The first one to eight sentences of a passage, as words."""
+    out: list[str] = []
+    said: list[str] = []
+    for sentence in re.split(r"(?<=[.!?:])\s+", passage)[:8]:
+        said += words(sentence)
+        out.append(" ".join(said))
+    return out
+
+
+def standing_instructions(items: DataFrame, least: int = 3, share: float = 0.05) -> dict[str, list[list[str]]]:
+    """Per suite, the opening sentences (as words) that several different passages share, longest first.
 
-    A sentence counts if at least ``least`` and ``share`` of the suite's distinct passages
-    open with all sentences up to it.
+    An opening counts if at least ``least`` and ``share`` of the suite's distinct passages begin
+    with it, so a suite has at most 8 / share of them.
     """
-    by_suite: dict[str, set[str]] = defaultdict(set)
-    for suite, passage in passages:
-        by_suite[suite].add(passage)
-    out = {}
-    for suite, texts in by_suite.items():
-        openings: Counter[tuple[str, ...]] = Counter()
-        for t in texts:
-            opening: tuple[str, ...] = ()
-            for sentence in re.split(r"(?<=[.!?:])\s+", t)[:8]:
-                opening += tuple(words(sentence))
-                openings[opening] += 1
-        need = max(least, share * len(texts))
-        out[suite] = sorted((list(o) for o, n in openings.items() if n >= need), key=len, reverse=True)
-    return out
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(s, o) for s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for o in openings(p)]
+            yield pa.record_batch([pa.array([s for s, _ in pairs], pa.string()), pa.array([o for _, o in pairs], pa.string())], names=["suite", "opening"])
+
+    passages = items.filter("passage is not null").select("suite", "passage").distinct()
+    counts = passages.mapInArrow(opened, "suite string, opening string").groupBy("suite", "opening").agg(F.count(F.lit(1)).alias("n"))
+    whole = passages.groupBy(F.col("suite").alias("of")).agg(F.count(F.lit(1)).alias("passages"))
+    enough = F.greatest(F.lit(float(least)), F.col("passages") * share)
+    out: dict[str, list[list[str]]] = defaultdict(list)
+    for r in counts.join(whole, F.col("suite").eqNullSafe(F.col("of"))).filter(F.col("n") >= enough).collect():
+        out[r["suite"]].append(r["opening"].split())
+    return {suite: sorted(found, key=len, reverse=True) for suite, found in out.items()}
 
 
 def eval_blocks(items: DataFrame) -> Iterator[EvalIndex]:
     """Indexes over the items (item_id, suite, passage, question, answer), at most ``MAX_EVAL_WORDS`` words each."""
     rows = items.select("item_id", "suite", "passage", "question", "answer")
-    seen = [(r["suite"], r["passage"]) for r in rows.filter("passage is not null").select("suite", "passage").distinct().toLocalIterator()]
-    openings = standing_instructions(seen)
+    instructions = standing_instructions(rows)
     texts: dict[tuple[str, ...], list[int]] = defaultdict(list)
     n = 0
 
@@ -116,8 +127,8 @@ def eval_blocks(items: DataFrame) -> Iterator[EvalIndex]:
 
     for r in rows.toLocalIterator():
         passage = words(r["passage"])
-        for o in openings.get(r["suite"], []):
-            if passage[: len(o)] == o:
+        for o in instructions.get(r["suite"], []):
+            if o and passage[: len(o)] == o:
                 passage = passage[len(o) :]
                 break
         for tokens in (passage, words(r["question"]) + words(r["answer"])):
@@ -246,7 +257,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                         names=[doc_id, "item_id", "spans"],
                     )
 
-        parts.append(documents.select(doc_id, text).mapInArrow(scan, schema))
+        parts.append(spread(documents.select(doc_id, text)).mapInArrow(scan, schema))
     if not parts:
         return spark.createDataFrame([], schema)
     whole = parts[0]
