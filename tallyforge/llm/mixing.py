@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.runtime import checkpoint
+from tallyforge.runtime import checkpoint, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of the byte-level vocabulary.
@@ -50,7 +50,7 @@ def count_tokens(documents: DataFrame, doc_id: str, source: str, text: str = "te
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(sizes, pa.int64())], names=[doc_id, source, "tokens"])
 
-    return documents.select(doc_id, source, text).mapInArrow(count, f"`{doc_id}` {kind}, `{source}` string, tokens long")
+    return spread(documents.select(doc_id, source, text)).mapInArrow(count, f"`{doc_id}` {kind}, `{source}` string, tokens long")
 
 
 def _uniform(seed: int, *names: object) -> float:
