@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.runtime import checkpoint
+from tallyforge.runtime import checkpoint, spread
 
 # Function words by group (articles, prepositions, conjunctions, pronouns,
 # auxiliaries and common verbs, adverbs and negations, quantifiers, question words).
@@ -49,7 +49,7 @@ FUNCTION_WORDS = {
 # Chinese function characters.
 FUNCTION_CHARACTERS = "的了在是和也不就都而及与着或这那被把对从到向以为会能可还已经即使但因如果请之后由于所其当将我你他它们没有并且只每又很再才更先按"
 
-_TOKEN = re.compile(r"(?:https?://|www\.)[^\s)\]>]+|[^\W\d_]*\d[\w]*|[㐀-鿿]|(?:(?![㐀-鿿])[^\W\d_])+|\n|[^\w\s]")
+_TOKEN = re.compile(r"(?:https?://|www\.)[^\s)\]>]+|[^\W_㐀-鿿]+|[㐀-鿿]|\n|[^\w\s]")
 _SENTENCE_END = ".!?。！？"
 _MARKS = ",.:;()-|/<>[]*#\"'"
 ALPHABET = "apcovnqwzZNMRDU" + _MARKS + "~^"
@@ -191,7 +191,7 @@ def score_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     shares are 0.  Rows that repeat are scored each.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
-    encoded = documents.select(doc_id, text).mapInArrow(_encode(doc_id), f"`{doc_id}` {kind}, codes array<string>, widths array<int>")
+    encoded = spread(documents.select(doc_id, text)).mapInArrow(_encode(doc_id), f"`{doc_id}` {kind}, codes array<string>, widths array<int>")
     encoded = checkpoint(encoded)
     counts = encoded.select("codes").mapInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     # At most len(ALPHABET) ** 3 rows, a fixed number.
