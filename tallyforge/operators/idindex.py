@@ -6,7 +6,7 @@ identifiers and, beside it, the row kept for each.  A batch is first reduced to
 earliest delivery per identifier (map-side first, so an identifier with a third of
 all rows costs one row per task), then each prefix's identifiers are
 binary-searched in the runs' arrays, and the novel ones form the next run.  Runs
-are merged from time to time; a manifest file names the runs in force.
+are merged from time to time; a manifest file names the runs in force and the batches taken in.
 """
 
 from __future__ import annotations
@@ -69,6 +69,17 @@ def _merged(runs: pd.DataFrame) -> pd.DataFrame:
     return _pack(int(runs["prefix"].iloc[0]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), rows)
 
 
+def _with_id(taken: list[list[int]], batch_id: int) -> list[list[int]]:
+    """Ranges of batch ids with one more; the ids of a stream follow each other and stay one range."""
+    out: list[list[int]] = []
+    for lo, hi in sorted([*taken, [batch_id, batch_id]]):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = [out[-1][0], max(out[-1][1], hi)]
+        else:
+            out.append([lo, hi])
+    return out
+
+
 class IdentifierIndex:
     """Runs of known identifiers below ``path``, with 2**bits hash prefixes.
 
@@ -87,26 +98,38 @@ class IdentifierIndex:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{name}".rstrip("/"))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def runs(self) -> tuple[int, list[str]]:
-        """Version and names of the runs in force; the latest manifest decides."""
+    def _load(self, name: str) -> dict:
+        fs, path = self._at(name)
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _manifest(self) -> dict:
+        """The latest manifest: its version, the runs in force and ``taken``, the batch ids taken in so far as ranges."""
         fs, folder = self._at("")
         names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
         names = [n for n in names if n.endswith(".json")]
         if not names:
-            return 0, []
-        stream = fs.open(self._at(names[-1])[1])
-        try:
-            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+            return {"version": 0, "runs": [], "taken": []}
+        found = self._load(names[-1])
+        if "taken" not in found:  # written before manifests named the batches: every run was in force at first
+            ids = {int(r.removeprefix("run-")) for n in names for r in self._load(n)["runs"] if r.startswith("run-")}
+            found["taken"] = reduce(_with_id, ids, [])
+        return found
+
+    def runs(self) -> tuple[int, list[str]]:
+        """Version and names of the runs in force; the latest manifest decides."""
+        found = self._manifest()
         return found["version"], found["runs"]
 
-    def _publish(self, version: int, runs: list[str]) -> None:
+    def _publish(self, version: int, runs: list[str], taken: list[list[int]]) -> None:
         """Written aside and renamed, so that a reader sees a whole manifest or none."""
         fs, aside = self._at(f"{version:08d}.new")
         out = fs.create(aside, True)
         try:
-            out.write(bytearray(json.dumps({"version": version, "runs": runs}).encode()))
+            out.write(bytearray(json.dumps({"version": version, "runs": runs, "taken": taken}).encode()))
         finally:
             out.close()
         final = self._at(f"{version:08d}.json")[1]
@@ -124,11 +147,12 @@ class IdentifierIndex:
 
         Within a batch the row with the smallest ``order`` columns (NULL last), then the
         smallest ``row_id``, is kept.  A batch id that was published already is not taken
-        in twice, so a repeated micro-batch changes nothing.
+        in twice, so a repeated micro-batch changes nothing, whether its run is still in force or was merged.
         """
-        version, live = self.runs()
+        found = self._manifest()
+        version, live, taken = found["version"], found["runs"], found["taken"]
         name = f"run-{batch_id if batch_id is not None else version:08d}"
-        if batch_id is not None and any(r.startswith(name) for r in live):
+        if batch_id is not None and any(lo <= batch_id <= hi for lo, hi in taken):
             return name
         hi, lo = identifier(parts)
         first = F.min(F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))), F.col(row_id).alias("row")))
@@ -141,19 +165,20 @@ class IdentifierIndex:
             novel = reduced.groupBy("prefix").applyInPandas(lambda b: _novel(b, pd.DataFrame({"keys": []})), _RUN)
         novel.write.mode("overwrite").parquet(f"{self.path}/{name}")
         live = [*live, name]
-        self._publish(version + 1, live)
+        self._publish(version + 1, live, taken if batch_id is None else _with_id(taken, batch_id))
         if len(live) > merge_every:
             self.merge()
         return name
 
     def merge(self) -> None:
-        """Merge the runs in force into one; the old files stay for readers of older manifests."""
-        version, live = self.runs()
+        """Merge the runs in force into one; the old files stay for readers of older manifests and repeated batches."""
+        found = self._manifest()
+        version, live = found["version"], found["runs"]
         if len(live) < 2:
             return
         name = f"merged-{version:08d}"
         self.read(live).groupBy("prefix").applyInPandas(_merged, _RUN).write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self._publish(version + 1, [name])
+        self._publish(version + 1, [name], found["taken"])
 
     def kept_rows(self, runs: list[str], row_id: str) -> DataFrame:
         """Row ids kept by the given runs."""

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 
 import numpy as np
@@ -93,6 +94,32 @@ def test_stream_over_any_horizon_and_repeated_batches(spark, tmp_path):
     assert {r["ods_id"] for r in stream.kept().collect()} == brute(rows)
 
 
+def test_repeated_batches_after_a_merge(spark, tmp_path):
+    stream = DedupStream(spark, f"file://{tmp_path}", "ods_id", "at", expected=1000)
+    rows = [(i, "o", f"e{i}", T, 1, 2) for i in range(40)]
+    batch = lambda n: spark.createDataFrame(rows[n * 4 : n * 4 + 4], SCHEMA)
+    for n in range(9):
+        stream.process(batch(n), n)
+    assert stream.index.runs()[1] == ["merged-00000009"]
+    for n in (8, 3):  # the one that triggered the merge and an older one
+        stream.process(batch(n), n)
+    stream.process(batch(9), 9)
+    assert sorted(r["ods_id"] for r in stream.kept().collect()) == list(range(40))
+
+
+def test_batch_ids_of_manifests_that_do_not_name_them(spark, tmp_path):
+    index = idindex.IdentifierIndex(spark, f"file://{tmp_path}", 4)
+    df = spark.createDataFrame(made(5, 40), SCHEMA)
+    for n in range(3):
+        index.add(df.filter(F.col("ods_id") % 3 == n), parts(), "ods_id", ["at"], merge_every=2, batch_id=n)
+    for path in (tmp_path / "manifest").glob("*.json"):
+        found = json.loads(path.read_text())
+        (tmp_path / "manifest" / f".{path.name}.crc").unlink(missing_ok=True)
+        path.write_text(json.dumps({k: found[k] for k in ("version", "runs")}))
+    before = index.runs()
+    assert index.add(df, parts(), "ods_id", ["at"], batch_id=2) == "run-00000002" and index.runs() == before
+
+
 def test_structured_streaming_end_to_end(spark, tmp_path):
     rows = made(4, 100)
     df = spark.createDataFrame(rows, SCHEMA)
