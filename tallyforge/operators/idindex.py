@@ -26,6 +26,11 @@ _RUN = "prefix int, keys binary, rows binary"
 _IDS_PER_PREFIX = 250_000
 
 
+def named(parts: list[Column]) -> Column:
+    """Whether a row has an identifier: where a part is NULL it is a message of its own."""
+    return reduce(lambda a, b: a & b, (p.isNotNull() for p in parts))
+
+
 def identifier(parts: list[Column]) -> tuple[Column, Column]:
     """Two 64-bit halves of an identifier's hash."""
     return F.xxhash64(*parts), F.xxhash64(F.lit("second"), *reversed(parts))
@@ -146,7 +151,8 @@ class IdentifierIndex:
         """Take in one batch; the name of the run that holds its novel identifiers and their kept rows.
 
         Within a batch the row with the smallest ``order`` columns (NULL last), then the
-        smallest ``row_id``, is kept.  A batch id that was published already is not taken
+        smallest ``row_id``, is kept.  Rows without an identifier are not taken in; the caller keeps
+        them all.  A batch id that was published already is not taken
         in twice, so a repeated micro-batch changes nothing, whether its run is still in force or was merged.
         """
         found = self._manifest()
@@ -156,7 +162,7 @@ class IdentifierIndex:
             return name
         hi, lo = identifier(parts)
         first = F.min(F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"no_{c}"), F.col(c))), F.col(row_id).alias("row")))
-        reduced = batch.select(hi.alias("hi"), lo.alias("lo"), row_id, *order).groupBy("hi", "lo").agg(first.alias("first"))
+        reduced = batch.filter(named(parts)).select(hi.alias("hi"), lo.alias("lo"), row_id, *order).groupBy("hi", "lo").agg(first.alias("first"))
         reduced = reduced.select(F.shiftrightunsigned("hi", 64 - self.bits).cast("int").alias("prefix"), "hi", "lo", F.col("first.row").alias("row"))
         if live:
             known = self.read(live).select("prefix", "keys")
@@ -204,11 +210,10 @@ def kept_deliveries(
     NULL ``order`` comes last.  An empty table keeps nothing.
     """
     spark = df.sparkSession
-    whole = reduce(lambda a, b: a & b, (p.isNotNull() for p in parts))
-    named = df.filter(whole)
+    whole = df.filter(named(parts))
     cuts = [i / batches for i in range(1, batches)]
     micros = F.unix_micros(F.col(order).cast("timestamp"))
-    n, at = named.agg(F.count(F.lit(1)), F.percentile_approx(micros, cuts or [0.5], 1000)).first()
+    n, at = whole.agg(F.count(F.lit(1)), F.percentile_approx(micros, cuts or [0.5], 1000)).first()
     index = IdentifierIndex(spark, path or shared_dir(spark, "idindex"), IdentifierIndex.bits_for(n))
     edges = sorted(set(at or []))[: batches - 1]
     runs = []
@@ -216,5 +221,5 @@ def kept_deliveries(
         inside = micros.isNull() if i == len(edges) else F.lit(False)
         since = micros > edges[i - 1] if i else F.lit(True)
         until = micros <= edges[i] if i < len(edges) else F.lit(True)
-        runs.append(index.add(named.filter(inside | (since & until)), parts, row_id, [order], merge_every=2))
-    return index.kept_rows(runs, row_id).unionByName(df.filter(~whole).select(F.col(row_id).cast("long")))
+        runs.append(index.add(whole.filter(inside | (since & until)), parts, row_id, [order], merge_every=2))
+    return index.kept_rows(runs, row_id).unionByName(df.filter(~named(parts)).select(F.col(row_id).cast("long")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators import kslack
-from tallyforge.operators.idindex import IdentifierIndex
+from tallyforge.operators.idindex import IdentifierIndex, named
 from tallyforge.runtime import normal_id
 
 
@@ -25,6 +25,7 @@ def write_once(df: DataFrame, path: str, batch_id: int) -> None:
 class DedupStream:
     """Keeps the first delivery of each message, over any horizon, in an index on disk.
 
+    As in ``kept_deliveries``, a row of which a part of the identifier is NULL is always kept.
     ``row_id`` must be a 64-bit number that is unique among all deliveries.
     """
 
@@ -36,7 +37,8 @@ class DedupStream:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         run = self.index.add(batch, self.parts, self.row_id, [self.order], merge_every=8, batch_id=batch_id)
         kept = self.index.kept_rows([run], self.row_id)
-        write_once(batch.join(kept, self.row_id, "left_semi"), f"{self.root}/kept", batch_id)
+        first = batch.filter(named(self.parts)).join(kept, self.row_id, "left_semi")
+        write_once(first.unionByName(batch.filter(~named(self.parts))), f"{self.root}/kept", batch_id)
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()

@@ -120,6 +120,17 @@ def test_batch_ids_of_manifests_that_do_not_name_them(spark, tmp_path):
     assert index.add(df, parts(), "ods_id", ["at"], batch_id=2) == "run-00000002" and index.runs() == before
 
 
+def test_stream_and_batch_keep_the_same_rows_where_identifiers_are_null(spark, tmp_path):
+    rng = random.Random(6)
+    some = lambda p, x: None if rng.random() < p else x
+    rows = [(i, some(0.2, "o1"), some(0.3, f"e{i % 11}"), T + dt.timedelta(minutes=i), 1, 2) for i in range(90)]
+    stream = DedupStream(spark, f"file://{tmp_path}", "ods_id", "at", expected=1000)
+    for n in (0, 1, 1, 2):
+        stream.process(spark.createDataFrame(rows[n * 30 : n * 30 + 30], SCHEMA), n)
+    got = [r["ods_id"] for r in stream.kept().collect()]
+    assert len(got) == len(set(got)) and set(got) == kept(spark, rows) == brute(rows)
+
+
 def test_structured_streaming_end_to_end(spark, tmp_path):
     rows = made(4, 100)
     df = spark.createDataFrame(rows, SCHEMA)
