@@ -70,6 +70,52 @@ def provisional_totals(buffer: DataFrame, arrival: str, measure: str, lateness_d
     )
 
 
+def released(df: DataFrame, event_time: str, arrival: str, row_id: str, lateness_days: int = 3) -> DataFrame:
+    """(``row_id``, ``outcome``): each row as it leaves the buffer when the arrivals are replayed.
+
+    Every task replays one range of (arrival, row id), in order, behind a clock of its own arrivals.
+    At each midnight the clock passes, periods at their bound are released in event-time order;
+    a released row is ``on_time`` or, if it came in after its period's first provisional total was
+    published, ``corrects``.  A row whose period the clock has released already is turned away
+    (``rejected``).  What is buffered at the end of a range is released then: its bound passes in a later
+    range or with the end of the table.  A row with a NULL event or arrival time is not taken in.
+    """
+    arrivals = df.filter(F.col(event_time).isNotNull() & F.col(arrival).isNotNull()).select(
+        F.col(arrival).alias("a"),
+        F.col(row_id).cast("long").alias("id"),
+        F.unix_micros(F.col(event_time).cast("timestamp")).alias("t"),
+        F.unix_date(F.to_date(event_time)).alias("period"),
+        F.unix_date(F.to_date(arrival)).alias("day"),
+    )
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        midnight = None
+
+        def release(rows: pd.DataFrame) -> pd.DataFrame:
+            return rows.sort_values(["t", "id"])[["id", "outcome"]]
+
+        for pdf in batches:
+            for day, came in pdf.groupby("day"):
+                if day != midnight and held:
+                    buffer = pd.concat(held)
+                    due = buffer["period"] + 1 + lateness_days <= day
+                    yield release(buffer[due])
+                    held = [buffer[~due]]
+                midnight = day
+                shut = came["period"] + 1 + lateness_days <= day
+                yield came[shut].assign(outcome=REJECTED)[["id", "outcome"]]
+                published = came["period"] + 1 <= day
+                for rows, outcome in ((came[~shut & ~published], ON_TIME), (came[~shut & published], CORRECTS)):
+                    if len(rows):
+                        held.append(rows[["id", "t", "period"]].assign(outcome=outcome))
+        if held:
+            yield release(pd.concat(held))
+
+    replayed = arrivals.repartitionByRange("a", "id").sortWithinPartitions("a", "id").mapInPandas(replay, "id long, outcome string")
+    return replayed.select(F.col("id").alias(row_id), "outcome")
+
+
 _SEGMENT = "period date, lo timestamp, lo_id long, hi timestamp, hi_id long, lo_state string, hi_state string, events long, total long, max_gap_us long, switches long"
 
 

@@ -44,18 +44,19 @@ def _event_id() -> list[Column]:
     return [normal_id("org_id"), normal_id("event_id")]
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
+def _kept_rows(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     ods = table(spark, d, "usage_event_ods")
     kept = idindex.kept_deliveries(ods, _event_id(), "ods_id", "ingest_received_at")
-    late = kslack.buffered(ods, "event_time", "ingest_received_at", LATENESS_DAYS)
-    late = late.filter(F.col("outcome").isin(kslack.CORRECTS, kslack.REJECTED)).select("ods_id", "outcome")
-    return late.join(kept, "ods_id", "left_semi")
+    return ods.select("ods_id", "event_time", "ingest_received_at", *columns).join(kept, "ods_id", "left_semi")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    left = kslack.released(_kept_rows(spark, d), "event_time", "ingest_received_at", "ods_id", LATENESS_DAYS)
+    return left.filter(F.col("outcome").isin(kslack.CORRECTS, kslack.REJECTED))
 
 
 def _kept_buffer(spark: SparkSession, d: str) -> DataFrame:
-    ods = table(spark, d, "usage_event_ods")
-    kept = idindex.kept_deliveries(ods, _event_id(), "ods_id", "ingest_received_at")
-    rows = ods.select("ods_id", "event_time", "ingest_received_at", "total_tokens", "request_status").join(kept, "ods_id", "left_semi")
+    rows = _kept_rows(spark, d, "total_tokens", "request_status")
     return kslack.buffered(rows, "event_time", "ingest_received_at", LATENESS_DAYS)
 
 

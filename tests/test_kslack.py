@@ -2,7 +2,9 @@ import datetime as dt
 import random
 
 from tallyforge.operators import kslack
+from tallyforge.plans import core_queries
 from tallyforge.streaming.pipeline import KSlackStream
+from tests.oracle import compare
 
 SCHEMA = "id long, e timestamp, a timestamp, v long, s string, period string"
 T = dt.datetime(2025, 3, 1)
@@ -87,3 +89,25 @@ def test_stream_gives_each_period_one_final_row(spark, tmp_path):
     assert [tuple(r) for r in stream.final().select("events", "last_id").collect()] == [(1, 1)]
     rejected = spark.read.parquet(f"{tmp_path}/rejected")
     assert {r["id"] for r in rejected.collect()} == {2, 3}
+
+
+def test_replayed_arrivals_leave_the_buffer_in_order(spark):
+    data = rows(4) + [(9001, None, T, 1, "ok", ""), (9002, T, None, 1, "ok", ""), (9003, T + dt.timedelta(days=1), T + dt.timedelta(days=5), 1, "ok", ""), (9004, T + dt.timedelta(days=900), T, 1, "ok", "")]
+    want = {r[0]: outcome(r[1], r[2]) for r in data if r[1] and r[2]}
+    got = kslack.released(spark.createDataFrame(data, SCHEMA), "e", "a", "id").collect()
+    assert len(got) == len(want) and {r["id"]: r["outcome"] for r in got} == want
+    assert kslack.released(spark.createDataFrame([], SCHEMA), "e", "a", "id").count() == 0
+    event, period = {r[0]: (r[1], r[0]) for r in data}, {}
+    ranges = kslack.released(spark.createDataFrame(data, SCHEMA), "e", "a", "id").rdd.glom().collect()
+    for i, r in ((i, r) for i, p in enumerate(ranges) for r in p if r["outcome"] != "rejected"):
+        period.setdefault((i, event[r["id"]][0].date()), []).append(event[r["id"]])
+    assert all(p == sorted(p) for p in period.values())
+
+
+def test_p2_found_takes_its_outcomes_from_the_release(spark, monkeypatch):
+    def row_by_row(*_):
+        raise AssertionError("classified row by row")
+
+    monkeypatch.setattr(kslack, "buffered", row_by_row)
+    got, want = compare(spark, "/root/testdata/sf0.001", "p2_found", core_queries.p2_found, core_queries.oracle_sql()["p2_found"])
+    assert got == want and {r[1] for r in want[1]} == {"corrects", "rejected"}
