@@ -1,8 +1,8 @@
 """Defects of question-answer pairs: empty, truncated, refusal, copied, other_language.
 
-Refusals are found by their templates.  Answers are cut into clauses, words of the
-question and numbers are masked, and the clause templates are clustered by MinHash over
-five-word shingles, each membership verified at a Jaccard similarity of 0.8.  A cluster
+Refusals are found by their templates.  Answers give their opening (the first sentences as
+one text) and their clauses, words of the question and numbers are masked, and these
+templates are clustered by MinHash over five-word shingles, each membership verified at a Jaccard similarity of 0.8.  A cluster
 that recurs under prompts with a word in common belongs to a topic; one that recurs under
 unrelated prompts is a phrase that fits everything.  An answer that opens with such a
 phrase (or with words of declining) and has no clause of a topic only declines; prefaces
@@ -72,7 +72,9 @@ _CONNECTIVES = frozenset("but however and aber doch mais cependant pero sin emba
 _END = ".!?。！？"
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.DOTALL)
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*/?>")
+_SENTENCE = re.compile(r"[.!?。！？\n]+")
 _EVIDENCE, _TOPIC, _UNRELATED = 5, 0.5, 0.4
+_OPENING = 13
 
 
 def _hash(text: str) -> int:
@@ -157,6 +159,25 @@ def clauses(question: str, answer: str) -> list[str]:
     return out
 
 
+def opening(question: str, answer: str) -> str | None:
+    """The masked opening of an answer: its first sentences as one text, up to the one that completes 13 words.
+
+    From 13 words on (9 shingles) texts of which an outer word differs still share 0.8 of their shingles.
+    """
+    out: list[str] = []
+    for part in _SENTENCE.split(answer):
+        out += _masked(question, part)
+        if len(out) >= _OPENING:
+            break
+    return " ".join(out) or None
+
+
+def templates(question: str, answer: str) -> set[str]:
+    """The distinct templates of an answer: its clauses and its opening."""
+    first = opening(question, answer)
+    return {*clauses(question, answer), *([first] if first else [])}
+
+
 def topic_words(question: str) -> set[str]:
     """What questions may have in common: words, and pairs of Chinese characters, that are no function words."""
     words = {w.lower() for w in re.findall(r"[^\W\d_㐀-鿿]+", question)} - _FUNCTION
@@ -213,7 +234,7 @@ def _row(question: str, answer: str | None) -> dict:
     said, asked = language_of(answer), language_of(question)
     out["foreign"] = bool(said and asked and said != asked and not asks_for(question, said))
     out["declines"] = bool(DECLINING.search(answer.lower().replace("’", "'")))
-    out["clauses"] = sorted({_hash(c) for c in clauses(question, answer)})
+    out["clauses"] = sorted({_hash(c) for c in templates(question, answer)})
     return out
 
 
@@ -246,7 +267,7 @@ def _count_clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for q, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if a:
                 words = ["", *topic_words(q)]
-                counts.update((c, w) for c in set(clauses(q, a)) for w in words)
+                counts.update((c, w) for c in templates(q, a) for w in words)
         yield pa.record_batch([pa.array([c for c, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["clause", "word", "n"])
 
 

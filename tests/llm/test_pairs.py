@@ -69,6 +69,18 @@ def test_minhash_links_only_near_copies(spark):
     assert got[texts[0]] == got[texts[1]] and len(set(got.values())) == 3 and set(got) == set(texts)
 
 
+def test_openings_with_varying_words_share_their_evidence(spark):
+    rows, want = table()
+    plain = len(rows)
+    # Each clause has 11 or 12 words of which one varies, too few to share 0.8 of its shingles; the sentence has 23.
+    names = [a + b for a in ("bar", "cel", "dun", "fol", "gim", "hov") for b in ("essa", "ino")]
+    for i, name in enumerate(names):
+        q, _ = TOPICS[i % len(TOPICS)]
+        rows.append((f"v{i}", q.format(NAMES[i % 10]), f"{name} says this whole matter stays shut here for the present, everybody hears more about that once this office receives news from {name[::-1]}.", "ok", None, ""))
+    got = {r["event_id"]: r["defect"] for r in P.find_defects(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want | {f"v{i}": "refusal" for i in range(len(rows) - plain)}
+
+
 @pytest.mark.parametrize(
     ("text", "language"),
     [("Where is the list of the keys that you have?", "en"), ("Wo finde ich die Liste und wie ist sie sortiert?", "de"), ("Où est la liste des clés que vous avez ?", "fr"), ("¿Dónde está la lista de los que no se usan?", "es"), ("在审计页面选择对应的一周", "zh"), ("```\nthe of and to in\n```", None), ("42", None), ("", None)],
