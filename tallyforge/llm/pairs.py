@@ -303,20 +303,41 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """(clause, cluster): the smallest clause of each connected component of the links.
+
+    Each round takes the smallest label among the neighbours, then that label's own; it ends when no label changes.
+    """
+    edges = checkpoint(links.select("clause", "cluster").union(links.select("cluster", "clause")).toDF("clause", "other").distinct())
+    labels = checkpoint(edges.groupBy("clause").agg(F.least("clause", F.min("other")).alias("cluster")))
+    while True:
+        near = edges.join(labels.select(F.col("clause").alias("other"), F.col("cluster").alias("seen")), "other")
+        near = near.groupBy("clause").agg(F.min("seen").alias("seen"))
+        low = labels.join(near, "clause").select("clause", F.col("cluster").alias("old"), F.least("cluster", "seen").alias("cluster"))
+        onward = labels.select(F.col("clause").alias("cluster"), F.col("cluster").alias("root"))
+        step = checkpoint(low.join(onward, "cluster").select("clause", "old", F.least("cluster", "root").alias("cluster")))
+        labels = step.select("clause", "cluster")
+        if step.filter("cluster <> old").isEmpty():
+            return labels
+
+
 def cluster_templates(templates: DataFrame) -> DataFrame:
-    """(clause, cluster): each distinct template with the smallest of the verified near-copies it is linked to.
+    """(clause, cluster): each distinct template with the smallest template of its family of verified near-copies.
 
-    A bucket links its members to its smallest one, not to each other, so buckets of any size
-    cost one row per member; links are followed twice.
+    A bucket links its members to its smallest one, which costs one row per member; members that
+    are no near-copies of the smallest are compared with all others of the bucket, so that no link of
+    two templates that share a bucket is lost.  Links are followed to their end.
     """
-    in_bucket = checkpoint(templates.select("clause").distinct().mapInArrow(_bands, "bucket long, clause string"))
+    in_bucket = checkpoint(templates.select("clause").distinct().mapInArrow(_bands, "bucket long, clause string").distinct())
     smallest = in_bucket.groupBy("bucket").agg(F.min("clause").alias("cluster"))
-    links = in_bucket.join(smallest, "bucket").filter("clause <> cluster").select("clause", "cluster").distinct()
-    links = checkpoint(links.mapInArrow(_verified, "clause string, cluster string"))
-    first = links.groupBy("clause").agg(F.min("cluster").alias("cluster"))
-    onward = first.select(F.col("clause").alias("cluster"), F.col("cluster").alias("root"))
-    followed = first.join(onward, "cluster", "left").select("clause", F.coalesce("root", "cluster").alias("cluster"))
-    return templates.select("clause").distinct().join(followed, "clause", "left").select("clause", F.coalesce("cluster", "clause").alias("cluster"))
+    tries = in_bucket.join(smallest, "bucket").filter("clause <> cluster").select("bucket", "clause", "cluster")
+    links = checkpoint(tries.select("clause", "cluster").distinct().mapInArrow(_verified, "clause string, cluster string"))
+    apart = checkpoint(tries.join(links, ["clause", "cluster"], "left_anti"))
+    others = in_bucket.select("bucket", F.col("clause").alias("other"))
+    rest = apart.join(others, "bucket").filter("other <> clause and other <> cluster")
+    rest = rest.select(F.greatest("clause", "other").alias("clause"), F.least("clause", "other").alias("cluster")).distinct()
+    links = links.unionByName(rest.mapInArrow(_verified, "clause string, cluster string"))
+    return templates.select("clause").distinct().join(_components(links), "clause", "left").select("clause", F.coalesce("cluster", "clause").alias("cluster"))
 
 
 def clause_kinds(pairs: DataFrame, question: str, answer: str) -> DataFrame:

@@ -69,6 +69,25 @@ def test_minhash_links_only_near_copies(spark):
     assert got[texts[0]] == got[texts[1]] and len(set(got.values())) == 3 and set(got) == set(texts)
 
 
+def test_chains_of_near_copies_are_one_cluster(spark):
+    words = [f"w{i:02d}" for i in range(60)]
+    chain = [" ".join(words[i : i + 44]) for i in range(0, 16, 2)]  # neighbours share 0.9, the ends less than 0.5
+    got = {r["clause"]: r["cluster"] for r in P.cluster_templates(spark.createDataFrame([(t,) for t in [*chain, "apart"]], "clause string")).collect()}
+    assert {got[t] for t in chain} == {chain[0]} and got["apart"] == "apart"
+
+
+def test_near_copies_are_linked_beside_a_smaller_text_of_their_bucket(spark, monkeypatch):
+    def one_bucket(batches):
+        for b in batches:
+            yield P.pa.record_batch([P.pa.array([1] * b.num_rows, P.pa.int64()), b.column(0)], names=["bucket", "clause"])
+
+    monkeypatch.setattr(P, "_bands", one_bucket)
+    long = " ".join(f"w{i:02d}" for i in range(30))
+    texts = ["a smaller text of the bucket", long, f"{long} more"]
+    got = {r["clause"]: r["cluster"] for r in P.cluster_templates(spark.createDataFrame([(t,) for t in texts], "clause string")).collect()}
+    assert got == {texts[0]: texts[0], texts[1]: texts[1], texts[2]: texts[1]}
+
+
 def test_openings_with_varying_words_share_their_evidence(spark):
     rows, want = table()
     plain = len(rows)
