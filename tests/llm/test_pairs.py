@@ -106,3 +106,36 @@ def test_openings_with_varying_words_share_their_evidence(spark):
 )
 def test_language(text, language):
     assert P.language_of(text) == language
+
+
+def test_other_scripts_and_languages():
+    assert P.language_of("Это предложение написано по-русски.") == "cyrillic"
+    assert P.language_of("これは日本語の文章です。") == "ja"
+    assert P.language_of("이것은 한국어 문장입니다.") == "ko"
+    assert P.language_of("Dit is het antwoord, maar wij kunnen niet wachten.") == "nl"
+    assert P.asks_for("Please answer in Japanese.", "ja") and not P.asks_for("Please answer.", "ja")
+
+
+def test_minhash_recall_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in range(60):
+        base = [f"{rng.choice('abcdef')}{rng.randrange(400)}" for _ in range(rng.randrange(12, 30))]
+        texts += [" ".join(base)] + [" ".join([*base[k:], *(f"z{n}{k}{i}" for i in range(k))]) for k in (1, 2)]
+    near = {(a, b) for a in texts for b in texts if a < b and len(P.shingles(a) & P.shingles(b)) >= 0.8 * len(P.shingles(a) | P.shingles(b))}
+    got = {r["clause"]: r["cluster"] for r in P.cluster_templates(spark.createDataFrame([(t,) for t in texts], "clause string")).collect()}
+    assert len(near) > 60 and sum(got[a] == got[b] for a, b in near) >= 0.99 * len(near)
+    apart = {(a, b) for a in texts for b in texts if got[a] == got[b]} - {(a, b) for x, y in near for a, b in ((x, y), (y, x), (x, x), (y, y))} - {(t, t) for t in texts}
+    assert all(len(P.shingles(a) & P.shingles(b)) > 0 for a, b in apart)  # only chains of near-copies
+
+
+def test_a_masked_word_stands_for_a_word_of_other_prompts(spark):
+    texts = ["x me out on this topic", "count me out on this topic", "x me in", "count me in", "count me out on that topic"]
+    got = {r["clause"]: r["cluster"] for r in P.cluster_templates(spark.createDataFrame([(t,) for t in texts], "clause string")).collect()}
+    assert got[texts[0]] == got[texts[1]] and len(set(got.values())) == 4
+
+
+def test_evidence_of_templates(spark):
+    pooled = [("same", None, 3), ("same", 1, 3), ("same", 2, 3), ("apart", None, 3), *(("apart", w, 1) for w in range(9)), ("once", None, 1), ("once", 1, 1)]
+    got = {r["k"]: r["evidence"] for r in P._evidence(spark.createDataFrame(pooled, "k string, word long, n long"), "k").collect()}
+    assert got["same"] > P._SOME and got["apart"] < -P._SOME and got["once"] == 0
