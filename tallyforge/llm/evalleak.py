@@ -1,12 +1,21 @@
 """Evaluation texts that leak into training documents.
 
-The words of all evaluation texts are numbered and their five-word sequences go
-into a broadcast hash table; the evaluation set is bounded (``MAX_EVAL_WORDS`` a
-block; larger sets are worked off in blocks).  Every document is read once, without a
+The words of all evaluation texts are numbered and their five-word sequences go, as sorted
+numbers, into a broadcast hash table; the evaluation set is bounded (``MAX_EVAL_WORDS`` a
+scan; larger sets are worked off in blocks).  Every document is read once, without a
 shuffle: a five-word sequence found in the table is a candidate, and each candidate is
-verified by aligning document and item outwards from it.  Nothing is lost: of 20 words
-with two replaced, dropped or added at least six in a row are intact, and longer spans
-with one edit in ten words have longer runs.
+verified by aligning document and item outwards from it.
+
+A leak is a stretch of consecutive item words of which at most one in ten is replaced, dropped or added, and
+of which the document holds 20 or more as they are; its first and last word are held.  Nothing is lost:
+
+* A leak with e edits has at most e + 1 intact runs.  With 20 held words and two edits, or 10 e words, e of them
+  edited, one of the runs has at least seven words.
+* A leak that contains no shorter one has at most five edits.  For let it have n words and e >= 6 edits, e <= n / 10.
+  If its first 30 words had at most three edits, they would, cut back to their last held word, still be a leak:
+  27 words or more with one edit in ten, 24 or more of them held.  So they have four, the last n - 30 words likewise
+  more than (n - 30) / 10, and together there are more than n / 10.  Around an intact run of a leak, five
+  edits therefore reach a leak.
 """
 
 from __future__ import annotations
@@ -17,7 +26,9 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +37,9 @@ from tallyforge.runtime import spread
 GRAM = 5
 MIN_WORDS = 20
 ONE_IN = 10
-LEAST_RUN = 6  # a span of n >= 20 words with n / 10 edits has at least so many in a row intact
-MAX_EDITS = 12
-MAX_EVAL_WORDS = 300_000  # about 60 MB of index a Python worker
+LEAST_RUN = 7
+DECIDING_EDITS = 5
+MAX_EVAL_WORDS = 5_000_000  # about 20 bytes a word and 150 a distinct word in each Python worker
 
 _JOINERS = "-'’‐‑­​‌‍⁠﻿"
 _WORD = re.compile(rf"[^\W_]+(?:(?:[{_JOINERS}](?=[^\W_])|(?<=\d)[:./,](?=\d))[^\W_]+)*")
@@ -62,53 +73,84 @@ def words(text: str | None) -> list[str]:
     return [_key(w) for w in _WORD.findall(text)]
 
 
+_RADIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _gram_numbers(ids: np.ndarray) -> np.ndarray:
+    """A number for the five words from each place on; 0 where one of them is unknown."""
+    n = len(ids) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    number, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM):
+            part = ids[k : k + n]
+            number = (number + part.astype(np.uint64) + np.uint64(1)) * _RADIX
+            number ^= number >> np.uint64(29)
+            whole &= part > 0
+    return np.where(whole, number | np.uint64(1), np.uint64(0))
+
+
 @dataclass
 class EvalIndex:
-    """Evaluation texts as numbered words and the places of their five-word sequences."""
+    """Evaluation texts as numbered words, and the places of their five-word sequences in the order of the sequences' numbers."""
 
     vocabulary: dict[str, int] = field(default_factory=dict)
-    texts: list[list[int]] = field(default_factory=list)
+    texts: list[np.ndarray] = field(default_factory=list)
     items: list[list[int]] = field(default_factory=list)
-    grams: dict[tuple[int, ...], list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
+    _sorted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def add(self, tokens: list[str], items: list[int]) -> None:
-        ids = [self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens]
-        for i in range(len(ids) - GRAM + 1):
-            self.grams[tuple(ids[i : i + GRAM])].append((len(self.texts), i))
-        self.texts.append(ids)
+        self.texts.append(np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens], np.int32))
         self.items.append(items)
-
-
-def openings(passage: str) -> list[str]:
-    """The first one to eight sentences of a passage, as words."""
-    out: list[str] = []
-    said: list[str] = []
-    for sentence in re.split(r"(?<=[.!?:])\s+", passage)[:8]:
-        said += words(sentence)
-        out.append(" ".join(said))
+        self._sorted = None
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers in ascending order, text, place in the text)."""
+        if self._sorted is None:
+            numbers = [_gram_numbers(t) for t in self.texts]
+            whole = np.concatenate([*numbers, np.zeros(0, np.uint64)])
+            text = np.repeat(np.arange(len(numbers), dtype=np.int32), [len(x) for x in numbers])
+            place = np.concatenate([*(np.arange(len(x), dtype=np.int32) for x in numbers), np.zeros(0, np.int32)])
+            order = np.argsort(whole, kind="stable")
+            self._sorted = whole[order], text[order], place[order]
+        return self._sorted
+
+
+def openings(passage: str) -> list[tuple[int, int]]:
+    """(hash, number of words) of a passage's beginning up to each end of a sentence; linear in its length."""
+    out: list[tuple[int, int]] = []
+    said, n = xxhash.xxh64(), 0
+    for sentence in re.split(r"(?<=[.!?:])\s+", passage):
+        for w in words(sentence):
+            said.update(w + " ")
+            n += 1
+        if n and (not out or out[-1][1] != n):
+            out.append((said.intdigest() - (1 << 63), n))
     return out
 
 
-def standing_instructions(items: DataFrame, least: int = 3, share: float = 0.05) -> dict[str, list[list[str]]]:
-    """Per suite, the opening sentences (as words) that several different passages share, longest first.
+def standing_instructions(items: DataFrame, least: int = 3, share: float = 0.05) -> dict[str | None, set[int]]:
+    """Per suite, the hashes of the beginnings that its passages share.
 
-    An opening counts if at least ``least`` and ``share`` of the suite's distinct passages begin
-    with it, so a suite has at most 8 / share of them.
+    By definition a beginning, at the end of any sentence, is a standing instruction if at least ``least`` and
+    ``share`` of the suite's distinct passages begin with it.
     """
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = [(s, o) for s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for o in openings(p)]
-            yield pa.record_batch([pa.array([s for s, _ in pairs], pa.string()), pa.array([o for _, o in pairs], pa.string())], names=["suite", "opening"])
+            pairs = [(s, o) for s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for o, _ in openings(p)]
+            yield pa.record_batch([pa.array([s for s, _ in pairs], pa.string()), pa.array([o for _, o in pairs], pa.int64())], names=["suite", "opening"])
 
     passages = items.filter("passage is not null").select("suite", "passage").distinct()
-    counts = passages.mapInArrow(opened, "suite string, opening string").groupBy("suite", "opening").agg(F.count(F.lit(1)).alias("n"))
+    counts = passages.mapInArrow(opened, "suite string, opening long").groupBy("suite", "opening").agg(F.count(F.lit(1)).alias("n"))
     whole = passages.groupBy(F.col("suite").alias("of")).agg(F.count(F.lit(1)).alias("passages"))
     enough = F.greatest(F.lit(float(least)), F.col("passages") * share)
-    out: dict[str, list[list[str]]] = defaultdict(list)
+    out: dict[str | None, set[int]] = defaultdict(set)
+    # At each end of a sentence a suite has at most 1 / share of them.
     for r in counts.join(whole, F.col("suite").eqNullSafe(F.col("of"))).filter(F.col("n") >= enough).collect():
-        out[r["suite"]].append(r["opening"].split())
-    return {suite: sorted(found, key=len, reverse=True) for suite, found in out.items()}
+        out[r["suite"]].add(r["opening"])
+    return out
 
 
 def eval_blocks(items: DataFrame) -> Iterator[EvalIndex]:
@@ -122,15 +164,12 @@ def eval_blocks(items: DataFrame) -> Iterator[EvalIndex]:
         made = EvalIndex()
         for tokens, ids in texts.items():
             made.add(list(tokens), sorted(set(ids)))
-        made.grams = dict(made.grams)
+        made.grams()
         return made
 
     for r in rows.toLocalIterator():
-        passage = words(r["passage"])
-        for o in instructions.get(r["suite"], []):
-            if o and passage[: len(o)] == o:
-                passage = passage[len(o) :]
-                break
+        passage, known = words(r["passage"]), instructions.get(r["suite"], set())
+        passage = passage[max((k for o, k in openings(r["passage"] or "") if o in known), default=0) :]
         for tokens in (passage, words(r["question"]) + words(r["answer"])):
             if len(tokens) >= MIN_WORDS:
                 texts[tuple(tokens)].append(r["item_id"])
@@ -142,72 +181,81 @@ def eval_blocks(items: DataFrame) -> Iterator[EvalIndex]:
         yield index()
 
 
-def _reach(item: list[int], doc: list[int]) -> Iterator[int]:
-    """How many words of ``item`` the start of ``doc`` covers with 0, 1, 2 ... edits."""
+def _reach(item: list[int], doc: list[int]) -> Iterator[tuple[int, int]]:
+    """(words of ``item`` covered, those of them held) by the start of ``doc`` with 0, 1, 2 ... edits, the last one held."""
     n, m = len(item), len(doc)
     i = 0
     while i < n and i < m and item[i] == doc[i]:
         i += 1
-    front = {0: i}
-    best = i
+    front = {0: (i, i)}
+    best = (i, i)
     while True:
         yield best
-        after: dict[int, int] = {}
-        for d, i in front.items():
+        after: dict[int, tuple[int, int]] = {}
+        for d, (i, held) in front.items():
             for nd, ni in ((d, i + 1), (d - 1, i + 1), (d + 1, i)):
-                if ni <= n and 0 <= ni + nd <= m and ni > after.get(nd, -1):
-                    after[nd] = ni
+                if ni <= n and 0 <= ni + nd <= m and (ni, held) > after.get(nd, (-1, 0)):
+                    after[nd] = (ni, held)
         front = {}
-        for d, i in after.items():
+        for d, (i, held) in after.items():
+            since = i
             while i < n and i + d < m and item[i] == doc[i + d]:
                 i += 1
-            front[d] = i
-            if i > best:
-                best = i
+            front[d] = (i, held + i - since)
+            if front[d] > best and i > since:
+                best = front[d]
 
 
 def _verified(item: list[int], doc: list[int], i: int, j: int) -> tuple[int, int] | None:
-    """The doc words [from, to) of a long enough span around the shared words item[i:], doc[j:], if there is one.
-
-    Around the longest intact run of a leaking span, four edits reach 20 words; where they
-    do not, the search ends.
-    """
-    margin = len(item) + MAX_EDITS
+    """The doc words [from, to) of the longest leak around the shared words item[i:], doc[j:], if there is one."""
+    most = max(DECIDING_EDITS, len(item) // ONE_IN)
+    margin = len(item) + most
     to_right = _reach(item[i:], doc[j : j + margin])
     to_left = _reach(item[:i][::-1], doc[max(0, j - margin) : j][::-1])
-    right: list[int] = []
-    left: list[int] = []
+    right: list[tuple[int, int]] = []
+    left: list[tuple[int, int]] = []
     best = None
-    for edits in range(MAX_EDITS + 1):
+    for edits in range(most + 1):
         right.append(next(to_right))
         left.append(next(to_left))
-        r, le = max(((right[a], left[edits - a]) for a in range(edits + 1)), key=sum)
-        if r + le >= max(MIN_WORDS, edits * ONE_IN) and (best is None or r + le > best[1] - best[0]):
+        each = ((right[a], left[edits - a]) for a in range(edits + 1))
+        (r, held_r), (le, held_l) = max(each, key=lambda x: (x[0][0] + x[1][0], x[0][1] + x[1][1]))
+        if held_r + held_l >= MIN_WORDS and r + le >= edits * ONE_IN and (best is None or r + le > best[1] - best[0]):
             best = (max(0, j - le), min(len(doc), j + r))
-        if edits == 4 and r + le < MIN_WORDS or r == len(item) - i and le == i:
+        if best is None and edits >= DECIDING_EDITS or right[-1][0] == len(item) - i and left[-1][0] == i:
             break
     return best
 
 
 def leaks_in(index: EvalIndex, ids: list[int]) -> dict[int, list[tuple[int, int]]]:
     """Text number to the doc word spans that leak it; ids: the document's words, 0 if unknown to the index."""
+    known, _, _ = index.grams()
+    grams = _gram_numbers(np.array(ids, np.int32))
+    if not len(known) or not len(grams):
+        return {}
+    return _leaks(index, ids, grams, np.searchsorted(known, grams, "left"))
+
+
+def _leaks(index: EvalIndex, ids: list[int], grams: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """As ``leaks_in``, given the document's sequences and where they would be among the index's."""
+    known, of_text, places = index.grams()
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
     done: dict[tuple[int, int], int] = {}
-    run, n = 0, len(ids)
-    for end in range(n):
-        run = run + 1 if ids[end] else 0
-        if run < GRAM:
-            continue
-        j = end - GRAM + 1
-        for text, i in index.grams.get(tuple(ids[j : end + 1]), ()):
+    n, total = len(ids), len(known)
+    inside = np.minimum(at, total - 1)
+    for j in np.flatnonzero((grams > 0) & (known[inside] == grams)).tolist():
+        k = int(at[j])
+        while k < total and known[k] == grams[j]:
+            text, i = int(of_text[k]), int(places[k])
+            k += 1
             if done.get((text, j - i), -1) >= j:
                 continue
-            item = index.texts[text]
-            k = GRAM
-            while i + k < len(item) and j + k < n and item[i + k] == ids[j + k]:
-                k += 1
-            done[text, j - i] = j + k - GRAM  # seeds within the run lead to the same alignment
-            if k < LEAST_RUN or any(a <= j < b for a, b in found[text]):
+            item = index.texts[text].tolist()
+            run = 0
+            while i + run < len(item) and j + run < n and item[i + run] == ids[j + run]:
+                run += 1
+            done[text, j - i] = j + run - GRAM  # seeds within the run lead to the same alignment
+            if run < LEAST_RUN or any(a <= j < b for a, b in found[text]):
                 continue
             span = _verified(item, ids, i, j)
             if span:
@@ -215,13 +263,36 @@ def leaks_in(index: EvalIndex, ids: list[int]) -> dict[int, list[tuple[int, int]
     return {t: s for t, s in found.items() if s}
 
 
+def _scan(index: EvalIndex, texts: list[str | None]) -> Iterator[tuple[int, str, dict[int, list[tuple[int, int]]]]]:
+    """(row, text, spans as characters by text number) of the rows that leak; a batch's sequences are looked up together."""
+    vocabulary = index.vocabulary
+    known, _, _ = index.grams()
+    every = [[vocabulary.get(w, 0) for w in words(t)] if t else [] for t in texts]
+    # A word unknown to the index keeps the documents apart.
+    flat = np.fromiter((i for ids in every for i in (*ids, 0)), np.int32)
+    grams = _gram_numbers(flat)
+    if not len(known) or not len(grams):
+        return
+    at = np.zeros(len(grams), np.int64)
+    asked = grams > 0
+    at[asked] = np.searchsorted(known, grams[asked], "left")
+    hit = np.zeros(len(grams), bool)
+    hit[asked] = known[np.minimum(at[asked], len(known) - 1)] == grams[asked]
+    starts = np.cumsum([0, *(len(ids) + 1 for ids in every)])
+    for row in np.unique(np.searchsorted(starts, np.flatnonzero(hit), "right") - 1).tolist():
+        a, b = int(starts[row]), int(min(starts[row + 1], len(grams)))
+        hits = _leaks(index, every[row], grams[a:b], at[a:b])
+        if hits:
+            place = [(m.start(), m.end()) for m in _WORD.finditer(_plain(texts[row]))]
+            yield row, texts[row], {t: [(place[x][0], place[y - 1][1]) for x, y in spans] for t, spans in hits.items()}
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, spans): each document and item it leaks, with the spans as character offsets.
 
-    A leak is 20 or more consecutive item words of which at most one in ten is replaced,
-    dropped or added in the document; the edits may lie at the ends, so 18 words in a row of an
-    item of 20 count.  NULL and empty texts and items under 20 words leak nothing; texts of any
-    length are read whole; documents that repeat appear once per row.
+    A leak is a stretch of consecutive item words with at most one in ten replaced, dropped or added, of which the document
+    holds 20 or more as they are.  NULL and empty texts and items under 20 words leak nothing;
+    texts of any length are read whole; documents that repeat appear once per row.
     """
     spark = documents.sparkSession
     kind = documents.schema[doc_id].dataType.simpleString()
@@ -232,30 +303,20 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            known = index.vocabulary
+            types = pa.struct([("begin", pa.int32()), ("until", pa.int32())])
             for batch in batches:
-                out = []
-                for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if not t:
-                        continue
-                    ids = [known.get(w, 0) for w in words(t)]
-                    if hits := leaks_in(index, ids):
-                        at = [(m.start(), m.end()) for m in _WORD.finditer(_plain(t))]
-                        by_item: dict[int, set[tuple[int, int]]] = defaultdict(set)
-                        for number, spans in hits.items():
-                            for item in index.items[number]:
-                                by_item[item] |= {(at[a][0], at[b - 1][1]) for a, b in spans}
-                        out += [{doc_id: d, "item_id": i, "spans": [{"begin": a, "until": b} for a, b in sorted(s)]} for i, s in sorted(by_item.items())]
-                if out:
-                    types = pa.struct([("begin", pa.int32()), ("until", pa.int32())])
-                    yield pa.record_batch(
-                        [
-                            pa.array([o[doc_id] for o in out], batch.schema.field(0).type),
-                            pa.array([o["item_id"] for o in out], pa.int64()),
-                            pa.array([o["spans"] for o in out], pa.list_(types)),
-                        ],
-                        names=[doc_id, "item_id", "spans"],
-                    )
+                rows, ids, spans = [], [], []
+                for row, _, hits in _scan(index, batch.column(1).to_pylist()):
+                    by_item: dict[int, set[tuple[int, int]]] = defaultdict(set)
+                    for number, found in hits.items():
+                        for item in index.items[number]:
+                            by_item[item] |= set(found)
+                    for item, found in sorted(by_item.items()):
+                        rows.append(row)
+                        ids.append(item)
+                        spans.append([{"begin": a, "until": b} for a, b in sorted(found)])
+                if rows:
+                    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(ids, pa.int64()), pa.array(spans, pa.list_(types))], names=[doc_id, "item_id", "spans"])
 
         parts.append(spread(documents.select(doc_id, text)).mapInArrow(scan, schema))
     if not parts:
@@ -267,6 +328,38 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     return whole if len(parts) == 1 else whole.groupBy(doc_id, "item_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a > at:
+            out.append(text[at:a])
+        at = max(at, b)
+    return "".join([*out, text[at:]])
+
+
+def clean(documents: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """The documents, all their columns and rows, with leaking spans cut out of ``text``.
+
+    The spans are cut where they are found, in one scan of the documents and without a shuffle; further blocks of a
+    large evaluation set follow in the same scan.
+    """
+    at = documents.columns.index(text)
+    out = spread(documents)
+    for block in eval_blocks(items):
+        shared = documents.sparkSession.sparkContext.broadcast(block)
+
+        def cut(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                for row, whole, hits in _scan(shared.value, list(texts)):
+                    texts[row] = _without(whole, [s for found in hits.values() for s in found])
+                columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
+                yield pa.record_batch(columns, names=batch.schema.names)
+
+        out = out.mapInArrow(cut, documents.schema)
+    return out
+
+
 def without_leaks(documents: DataFrame, leaks: DataFrame, doc_id: str = "doc_id", text: str = "text", drop: bool = False) -> DataFrame:
     """The documents with leaking spans cut out, or (``drop``) without the leaking documents."""
     if drop:

@@ -36,7 +36,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents").select("doc_id", "text")
-    return evalleak.without_leaks(documents, evalleak.find_leaks(documents, table(spark, d, "eval_items")))
+    return evalleak.clean(documents, table(spark, d, "eval_items"))
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:

@@ -10,18 +10,25 @@ def words(seed, n):
     return ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n)]
 
 
-def brute(item, doc, k=20):
-    """Whether some k consecutive item words lie in the document with at most k / 10 edits: plain dynamic programming."""
-    for i in range(len(item) - k + 1):
-        part = item[i : i + k]
-        row = [0] * (len(doc) + 1)
-        for a, w in enumerate(part, 1):
-            new = [a]
-            for j, d in enumerate(doc, 1):
-                new.append(min(row[j - 1] + (w != d), row[j] + 1, new[j - 1] + 1))
-            row = new
-        if min(row) <= k // 10:
-            return True
+def brute(item, doc, least=20, edits=6):
+    """Whether the document holds 20 words of some stretch of the item with an edit in ten words at most: plain dynamic programming."""
+    never = -(10**9)
+    for start in range(len(item) - least + 1):
+        # held[j][e]: most held words of the stretch so far when it ends before doc[j] with e edits
+        held = [[0] + [never] * edits for _ in range(len(doc) + 1)]
+        for k, w in enumerate(item[start:], 1):
+            new = []
+            for j in range(len(doc) + 1):
+                row = []
+                for e in range(edits + 1):
+                    best = held[j][e - 1] if e else never
+                    if j:
+                        best = max(best, held[j - 1][e] + 1 if doc[j - 1] == w else held[j - 1][e - 1] if e else never, new[j - 1][e - 1] if e else never)
+                    row.append(best)
+                new.append(row)
+            held = new
+            if k >= least and max(row[e] for row in held for e in range(min(edits, k // 10) + 1)) >= least:
+                return True
     return False
 
 
@@ -34,21 +41,51 @@ def leaked(passage, doc):
 def test_random_edits_against_brute_force():
     rng = random.Random(4)
     seen = [0, 0]
-    for n in range(250):
-        item = words(n, rng.randrange(20, 60))
-        a = rng.randrange(len(item) - 12)
-        part = item[a : a + rng.randrange(12, 34)]
+    for n in range(90):
+        item = words(n, rng.randrange(20, 46))
+        a = rng.randrange(len(item) - 17)
+        part = item[a : a + rng.randrange(17, 38)]
         for _ in range(rng.randrange(5)):
             at = rng.randrange(len(part))
             part[at : at + 1] = rng.choice([[], ["zzz"], [part[at], "zzz"]])
-        doc = words(1000 + n, 15) + part + words(2000 + n, 15)
+        doc = words(1000 + n, 3) + part + words(2000 + n, 3)
         want = brute(item, doc)
-        got = leaked(item, doc)
-        assert got or not want  # longer spans may allow more edits than any 20 words of them
-        if got and not want:
-            assert len(part) >= 28
+        assert leaked(item, doc) == want
         seen[want] += 1
-    assert min(seen) > 30
+    assert min(seen) > 20
+
+
+def test_longest_runs_and_many_edits_in_a_row():
+    item = words(7, 60)
+    cut = item[:18] + ["a", "b", "c", "d"] + item[22:42]  # a leak of 40 words only
+    assert brute(item, cut) and leaked(item, cut)
+    assert not leaked(item, item[:18] + ["a", "b", "c", "d", "e"] + item[23:41])
+    template = [w if i not in (5, 9) else f"name{i}" for i, w in enumerate(item[:20])]
+    assert not leaked(item, template) and leaked(item, [*template, *item[20:22]])
+    long = words(8, 400)
+    index = E.EvalIndex()
+    index.add(long, [1])
+    doc = [w if i % 12 else "zzz" for i, w in enumerate(long)]  # 34 edits: the whole text is one span
+    spans = E.leaks_in(index, [index.vocabulary.get(w, 0) for w in doc])[0]
+    assert max(b - a for a, b in spans) >= 398
+
+
+def test_instructions_of_any_length(spark):
+    intro = " ".join(f"Rule {i} asks for {' '.join(words(300 + i, 4))}." for i in range(12))
+    items = frame(spark, [(n, "s", f"{intro} {' '.join(words(n, 30))}", "q", "a") for n in range(4)])
+    docs = spark.createDataFrame([(1, intro), (2, " ".join(words(2, 30)))], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in E.find_leaks(docs, items).collect()] == [(2, 2)]
+
+
+def test_cleaning_in_the_scan(spark, monkeypatch):
+    items = frame(spark, [(n, "s", " ".join(words(n, 25)), "q", "a") for n in range(3)])
+    rows = [(1, f"one {' '.join(words(0, 25))} two {' '.join(words(2, 25))} three", "x"), (2, None, "y"), (3, "", None), (4, "plain", "z"), (4, "plain", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    for most in (E.MAX_EVAL_WORDS, 30):
+        monkeypatch.setattr(E, "MAX_EVAL_WORDS", most)
+        got = E.clean(docs, items)
+        assert got.columns == docs.columns
+        assert sorted(got.collect(), key=repr) == sorted([(1, "one  two  three", "x"), *rows[1:]], key=repr)
 
 
 def test_words_ignore_case_markup_spacing_and_labels():
