@@ -4,10 +4,13 @@ A document of source s is to be used r = (size x share) / (tokens of s) times: r
 part for certain, once more with the probability of its fraction.  The fractions are rounded
 by the pivotal method: two fractional probabilities transfer mass at random until one is 0 or
 1, which keeps every document's probability and, up to one document, the source's total.
-Tasks round their own documents, smallest first so that mass moves between documents of
-similar size, and leave one fraction per source; these residuals are combined by a reduction
-tree, 64 to a node.  No document is shuffled, so a source with a third of all documents is
-spread like any other.
+
+A hash of its id assigns every document to a leaf of about 50,000 documents, so a source with a
+third of all documents has many.  A leaf rounds its documents of a source, smallest first so that
+mass moves between documents of similar size, and leaves one fraction per source; these
+residuals are combined by a reduction tree, 64 to a node.  Leaves, pairs and draws depend on ids and
+the number of documents alone: the mixture is the same for any partitioning and number of cores.
+Only ids and sizes are shuffled for it; texts are joined to the documents that are used.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of the byte-level vocabulary.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _FAN_IN = 64
+_LEAF = 50_000
 _loaded: dict[str, object] = {}
 
 
@@ -57,18 +61,19 @@ def _uniform(seed: int, *names: object) -> float:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, names)), seed=seed) / 2**64
 
 
-def _transfer(a: tuple, b: tuple, seed: int) -> tuple[tuple, tuple]:
-    """One step for two (id, probability) units: (settled unit, unit that may still be fractional)."""
+def _transfer(a: tuple, b: tuple, u: float) -> tuple[tuple, tuple]:
+    """One step for two (id, probability) units and a draw: (settled unit, unit that may still be fractional)."""
     (i, p), (j, q) = a, b
-    u, total = _uniform(seed, i, j), p + q
+    total = p + q
     if total < 1:
         return ((i, 0.0), (j, total)) if u * total < q else ((j, 0.0), (i, total))
     rest = total - 1
     return ((i, 1.0), (j, rest)) if u * (2 - total) < 1 - q else ((j, 1.0), (i, rest))
 
 
-def _pivot(ids: list, probabilities: list[float], seed: int) -> tuple[list[tuple], tuple | None]:
-    """Settled (id, 0 or 1) units, and the fractional one that is left, if any."""
+def _pivot(ids: list, probabilities: list[float], seed: int, names: list | None = None) -> tuple[list[tuple], tuple | None]:
+    """Settled (id, 0 or 1) units, and the fractional one that is left, if any; draws go by ``names``, or else the ids."""
+    name = dict(zip(ids, names if names is not None else ids, strict=True))
     settled, held = [], None
     for unit in zip(ids, probabilities, strict=True):
         if unit[1] <= 1e-12 or unit[1] >= 1 - 1e-12:
@@ -76,7 +81,7 @@ def _pivot(ids: list, probabilities: list[float], seed: int) -> tuple[list[tuple
         elif held is None:
             held = unit
         else:
-            done, held = _transfer(held, unit, seed)
+            done, held = _transfer(held, unit, _uniform(seed, name[held[0]], name[unit[0]]))
             settled.append(done)
             if held[1] <= 1e-12 or held[1] >= 1 - 1e-12:
                 settled.append((held[0], float(round(held[1]))))
@@ -106,54 +111,53 @@ def mixture(sized: DataFrame, targets: DataFrame, doc_id: str, source: str, size
 
     ``doc_id`` is unique.  Documents of sources without a target and with a NULL source are left
     out; an empty table, or targets without any document, give an empty mixture.  The same seed
-    gives the same mixture for the same partitions.
+    gives the same mixture, however the table is partitioned.
     """
     rate = rates(sized, targets, source, size)
+    whole = F.floor(F.col("rate") + 1e-9)
     # The targets name their sources one by one: a list written by hand.
-    rows = sized.join(F.broadcast(rate), source).select(doc_id, source, "tokens", F.floor(F.col("rate") + 1e-9).alias("whole"), (F.col("rate") - F.floor(F.col("rate") + 1e-9)).alias("p"), "max_repeats")
-    rows = rows.sortWithinPartitions(source, "tokens", doc_id)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, tuple] = {}
-        for b in batches:
-            out: list[tuple] = []
-            for s, g in b.groupby(source, sort=False):
-                first = [held.pop(s)] if s in held else []
-                settled, left = _pivot([u[0] for u in first] + g[doc_id].tolist(), [u[1] for u in first] + g["p"].tolist(), seed)
-                out += [(s, i, x) for i, x in settled]
-                if left:
-                    held[s] = left
-            yield pd.DataFrame(out, columns=[source, doc_id, "up"])
-        yield pd.DataFrame([(s, i, p) for s, (i, p) in held.items()], columns=[source, doc_id, "up"])
-
-    shape = f"`{source}` string, `{doc_id}` {kinds[doc_id]}, up double"
-    decided = checkpoint(rows.select(source, doc_id, "p").mapInPandas(local, shape).withColumn("node", F.spark_partition_id()))
-    fractional = (F.col("up") > 0) & (F.col("up") < 1)
-    settled, open_ = [decided.filter(~fractional).drop("node")], decided.filter(fractional)
-
-    def combine(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("node")
-        done, left = _pivot(g[doc_id].tolist(), g["up"].tolist(), seed)
-        rest = [left] if left else []
-        return pd.DataFrame({source: g[source].iloc[0], doc_id: [i for i, _ in done + rest], "up": [p for _, p in done + rest], "node": g["node"].iloc[0]})
-
-    nodes = decided.sparkSession.sparkContext.defaultParallelism
-    nodes = max(nodes, (open_.agg(F.max("node")).first()[0] or 0) + 1)
-    while nodes > 1:
-        nodes = -(-nodes // _FAN_IN)
-        level = open_.withColumn("node", F.floor(F.col("node") / _FAN_IN).cast("int"))
-        level = checkpoint(level.groupBy(source, "node").applyInPandas(combine, f"{shape}, node int"))
-        settled.append(level.filter(~fractional).drop("node"))
-        open_ = level.filter(fractional)
+    rows = sized.join(F.broadcast(rate), source).select(doc_id, source, "tokens", whole.cast("int").alias("copies"), (F.col("rate") - whole).alias("up"))
+    leaves = max(1, -(-sized.count() // _LEAF))
+    rows = rows.withColumn("node", F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(leaves)).cast("int"))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def settle(g: pd.DataFrame) -> pd.DataFrame:
+        """A node's documents of one source: all with 0 or 1 but one at most."""
+        settled, left = _pivot(g.index.tolist(), g["up"].tolist(), seed, g[doc_id].tolist())
+        for i, up in settled + ([left] if left else []):
+            g.at[i, "up"] = up
+        return g
+
+    def leaf(g: pd.DataFrame) -> pd.DataFrame:
+        return settle(g.sort_values(["tokens", doc_id], ignore_index=True))
+
+    def inner(g: pd.DataFrame) -> pd.DataFrame:
+        return settle(g.sort_values(["below", doc_id], ignore_index=True)).drop(columns="below")
+
+    open_ = (F.col("up") > 0) & (F.col("up") < 1)
+    level = checkpoint(rows.groupBy(source, "node").applyInPandas(leaf, shape))
+    settled = [level.filter(~open_)]
+    while leaves > 1:
+        leaves = -(-leaves // _FAN_IN)
+        up = level.filter(open_).withColumns({"below": F.col("node"), "node": F.floor(F.col("node") / _FAN_IN).cast("int")})
+        level = checkpoint(up.groupBy(source, "node").applyInPandas(inner, shape))
+        settled.append(level.filter(~open_))
     # At most one fraction is left for each source: drawn as it is.
-    last = open_.drop("node").withColumn("up", F.when(F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 30)) / float(1 << 30) < F.col("up"), 1.0).otherwise(0.0))
-    ups = last
+    draw = F.pmod(F.xxhash64(F.lit(seed), doc_id, F.lit("last")), F.lit(1 << 30)) / float(1 << 30)
+    whole = level.filter(open_).withColumn("up", F.when(draw < F.col("up"), 1.0).otherwise(0.0))
     for s in settled:
-        ups = ups.unionByName(s)
-    copies = (F.col("whole") + F.col("up")).cast("int")
-    used = rows.join(ups.select(doc_id, "up"), doc_id).select(doc_id, source, "tokens", copies.alias("copies"))
-    return used.filter("copies > 0")
+        whole = whole.unionByName(s)
+    return whole.select(doc_id, source, "tokens", (F.col("copies") + F.col("up").cast("int")).alias("copies")).filter("copies > 0")
+
+
+def records(documents: DataFrame, mixed: DataFrame, doc_id: str) -> DataFrame:
+    """The mixture as records: every document with all its columns, once per copy; ``copy`` counts from 1.
+
+    Of a column that both tables have, the mixture's is taken.
+    """
+    kept = [c for c in documents.columns if c == doc_id or c.lower() not in {m.lower() for m in mixed.columns}]
+    joined = documents.select(*kept).join(mixed, doc_id)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies")
 
 
 def shares_reached(mixed: DataFrame, targets: DataFrame, source: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import conversations, evalleak, mixing, pairs, spampages
@@ -39,19 +39,31 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return evalleak.clean(documents, table(spark, d, "eval_items"))
 
 
-def _sized(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens per document; sources without case, outer blanks, other separators and a plural's s."""
-    source = F.regexp_replace(F.regexp_replace(F.lower(F.trim("source")), r"[\s\-]+", "_"), "s$", "")
-    return checkpoint(mixing.count_tokens(table(spark, d, "documents").withColumn("source", source), "doc_id", "source"))
+def _source(c: str) -> Column:
+    """A source without case, outer blanks, kinds of separators and a plural's s."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_"), "s$", "")
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(mixture, targets), documents and targets spelled by the same rule."""
+    documents = table(spark, d, "documents").withColumn("source", _source("source"))
+    sized = checkpoint(mixing.count_tokens(documents, "doc_id", "source"))
+    # Targets that name one source in several spellings are one target.
+    targets = table(spark, d, "mix_targets").groupBy(_source("source").alias("source"))
+    targets = targets.agg(F.min("source").alias("named"), F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    return mixing.mixture(sized, targets, "doc_id", "source"), targets
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(_sized(spark, d), table(spark, d, "mix_targets"), "doc_id", "source")
+    """The mixture's records: text and tokens, a row per copy."""
+    mixed, targets = _mixed(spark, d)
+    mixed = mixed.join(F.broadcast(targets.select("source", "named")), "source").select("doc_id", F.col("named").alias("source"), "tokens", "copies")
+    return mixing.records(table(spark, d, "documents").select("doc_id", "text", "lang"), mixed, "doc_id")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    return mixing.shares_reached(mixing.mixture(_sized(spark, d), targets, "doc_id", "source"), targets, "source")
+    mixed, targets = _mixed(spark, d)
+    return mixing.shares_reached(mixed, targets, "source").join(F.broadcast(targets.select("source", "named")), "source").withColumn("source", F.col("named")).drop("named")
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

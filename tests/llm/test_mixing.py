@@ -74,3 +74,23 @@ def test_tokens_of_whole_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, tokens int")
     got = {r["doc_id"]: r["tokens"] for r in mixing.count_tokens(df, "doc_id", "source").collect()}
     assert (got[1], got[2], got[3]) == (3, 0, 0) and got[4] >= 20_000
+
+
+def test_any_partitioning_gives_the_same_mixture(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_LEAF", 40)  # 70 leaves and more: two levels above them
+    rows, t = made(3), spark.createDataFrame([("big", 0.5, 1), ("mid", 0.4, 2), ("small", 0.1, 4)], TARGETS)
+    got = [sorted(mixing.mixture(sized(spark, rows[::k], parts), t, "doc_id", "source").collect()) for k, parts in ((1, 1), (-1, 7), (1, 23))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 500
+    n = Counter()
+    for r in got[0]:
+        n[r["source"]] += r["copies"]
+    rate = {r["source"]: r["rate"] for r in mixing.rates(sized(spark, rows), t, "source").collect()}
+    have = Counter(r[1] for r in rows)
+    assert all(abs(n[s] - rate[s] * have[s]) < 1.01 for s in rate)
+
+
+def test_records_repeat_whole_documents(spark):
+    docs = spark.createDataFrame([(1, "one", "x", 9), (2, "two", "y", 9), (3, None, "z", 9)], "doc_id long, text string, source string, copies int")
+    mixed = spark.createDataFrame([(1, "a", 5, 2), (3, "b", 7, 1)], "doc_id long, source string, tokens long, copies int")
+    got = {(r["doc_id"], r["copy"], r["text"], r["source"], r["tokens"]) for r in mixing.records(docs, mixed, "doc_id").collect()}
+    assert got == {(1, 1, "one", "a", 5), (1, 2, "one", "a", 5), (3, 1, None, "b", 7)}
