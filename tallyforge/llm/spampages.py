@@ -7,20 +7,28 @@ under it is abnormally high (keywords, links, tags: no function words, or the sa
 words over and over) or abnormally low is no prose, and a page is flagged if such
 stretches make up more than half of its text.
 
+Japanese and Korean show their grammar in kana and word endings, which count as function words.  Words
+of scripts without known function words (Arabic, Hebrew, Indic, Thai and others) have classes of their own;
+stretches of them are no prose only if they repeat words, list links or hold hardly any words.
+
 The alphabet of classes is fixed, so the model has at most ``len(ALPHABET) ** 3`` counts
-whatever the number of documents; these are summed up over all of them and broadcast.
+whatever the number of documents; these are summed up over all of them and broadcast.  Texts are read
+once; what is kept of them are their classes, compressed by some hundred pages, and then a number a stretch.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyforge.runtime import checkpoint, spread
 
@@ -46,24 +54,54 @@ FUNCTION_WORDS = {
     "todo todos toda todas cada varios algunos otro otra ningún alguns outro outra nenhum alle jede jeder jedes viele einige beide keine kein andere",
     "w": "what how why where whether comment pourquoi où quel quelle qué cómo dónde por qué onde wie was warum wo wohin",
 }
+# Function words of further languages (Dutch, Scandinavian, Polish, Czech, Turkish, Romanian, Indonesian,
+# Finnish, Hungarian; Russian, Ukrainian, Bulgarian; Greek), by group as far as they have it.
+MORE_FUNCTION_WORDS = {
+    "a": "het een ett det den en et unei unui niște az egy ο η το οι τα του της των τον την ένα μια ένας",
+    "p": "van voor met aan naar bij uit tegen tussen door i på av till från för med om vid mellan under til fra ved efter w na z ze do od przez przy dla nad pod przed między po za "
+    "ve na se s k ke u o pro při nad pod před mezi kvůli için ile gibi kadar göre sonra önce la cu pe din pentru prin între sub către untuk dengan dari pada oleh ke di dalam "
+    "в на с со к от из по для при о об без до за над под перед между через у від із з про та във със към от като за σε με για από προς χωρίς μετά μέχρι στο στη στην στον στα",
+    "c": "maar omdat dat als want dus och att men eller därför eftersom og eller fordi at i oraz ale lub że bo gdy jeśli ponieważ więc žebo ale nebo že protože když aby ve veya ama çünkü ki eğer "
+    "și sau dar că dacă pentru dan atau tetapi karena bahwa jika yang ja tai mutta että koska jos és vagy de hogy mert ha и а но или что чтобы потому если когда также і та але або що якщо щоб коли "
+    "и но или че ако защото когато και ή αλλά ότι αν γιατί όταν που να",
+    "o": "hij zij wij jij hun ons deze dit die zich jag du han hon vi ni de sig denna detta jeg hun hans hendes się ten ta to tego tej tym ich jego jej nas nam on ona oni který která které ten tato toto si jeho její "
+    "bu şu o bir onlar biz siz ben sen acesta această care îl lui ei ini itu mereka kami kita anda dia hän se ne tämä ez az ő ők он она оно они мы вы я ты его её их им это этот эта эти который которая которые себя свой "
+    "він вона вони ми ви це цей ця який яка які той тя те ние вие това този тази който която които αυτός αυτή αυτό αυτά μας σας τους οποία οποίο",
+    "v": "is was zijn worden wordt werd heeft hebben kan kunnen moet är var vara blir blev har hade kan ska måste er være bliver havde skal jest są był była było być ma może można zostać je jsou byl byla bylo být má může "
+    "değil var yok olan olarak oldu olur este sunt era fi are poate adalah akan dapat bisa telah sudah on ovat oli olla van volt lesz kell был была было были быть есть может можно будет є був була було бути може "
+    "е са беше има може ще είναι ήταν έχει έχουν μπορεί θα",
+    "n": "niet ook nog maar al alleen wel inte också redan bara ikke også kun allerede nie też już tylko jeszcze bardzo tak ne také už jen ještě velmi da hem sadece çok daha nu și doar foarte tidak juga hanya sangat ei myös vain nem is csak már "
+    "не ни уже только ещё же бы лишь очень также не вже тільки ще дуже и само вече още много δεν μη και μόνο ήδη πολύ",
+    "q": "elk alle veel meer andere alla många flera andra alle mange andre każdy wszystkie wiele inne každý všechny mnoho jiné her tüm bazı fiecare toate multe semua setiap beberapa kaikki moni minden sok каждый все всё много другие кожен всі багато "
+    "всеки всички много κάθε όλα όλοι πολλά άλλα",
+    "w": "wat hoe waarom waar wanneer vad hur varför var när hvad hvordan hvorfor co jak dlaczego gdzie kiedy jak proč kde kdy ne nasıl neden nerede ce cum unde când apa bagaimana mengapa mitä miten miksi mit hogyan miért "
+    "как где почему зачем куда як де чому какво как къде защо πώς πού γιατί τι",
+}
 # Chinese function characters.
 FUNCTION_CHARACTERS = "的了在是和也不就都而及与着或这那被把对从到向以为会能可还已经即使但因如果请之后由于所其当将我你他它们没有并且只每又很再才更先按"
-
-_TOKEN = re.compile(r"(?:https?://|www\.)[^\s)\]>]+|[^\W_㐀-鿿]+|[㐀-鿿]|\n|[^\w\s]")
-_SENTENCE_END = ".!?。！？"
+# Syllables that end a Korean word as particle or ending.
+KOREAN_ENDINGS = "은는이가을를에의로와과도만서다고며면지요게나까니든라"
+
+_MARKED = "\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0963\u0966-\u0dff\u0e00-\u0e7f"  # letters with signs of their own
+_TOKEN = re.compile(
+    rf"(?:https?://|www\.)[^\s)\]>]+|[ぁ-ゟ]+|[゠-ヿ]+|(?:[^\W_㐀-鿿぀-ヿ]|[{_MARKED}])+|[㐀-鿿]|\n|[^\w\s]"
+)
+_SENTENCE_END = ".!?。！？।؟"
 _MARKS = ",.:;()-|/<>[]*#\"'"
-ALPHABET = "apcovnqwzZNMRDU" + _MARKS + "~^"
+ALPHABET = "apcovnqwzZNMRDU" + _MARKS + "~^xyr"
 _NEAR = 100
 _OFTEN = 6
 _STRETCH = 14
 _FUNCTION = "apcovnqwz"
-_WORDS = "apcovnqwzZNMR"
+_CHUNK = 400
 
 # Tokens of a fixed class; function words also with a capital.
-_KNOWN: dict[str, str] = {m: m for m in _MARKS} | {m: "." for m in _SENTENCE_END} | {"，": ",", "、": ","}
-for _c, _group in reversed(FUNCTION_WORDS.items()):
-    _KNOWN |= {v: _c for w in _group.split() for v in (w, w.capitalize(), w.upper())}
+_KNOWN: dict[str, str] = {m: m for m in _MARKS} | {m: "." for m in _SENTENCE_END} | {"，": ",", "、": ",", "،": ","}
+for _words in (MORE_FUNCTION_WORDS, FUNCTION_WORDS):
+    for _c, _group in reversed(_words.items()):
+        _KNOWN |= {v: _c for w in _group.split() for v in (w, w.capitalize(), w.upper())}
 _CHARACTERS = frozenset(FUNCTION_CHARACTERS)
+_PLAIN_WORDS = {"N": "x", "M": "y", "R": "r"}
 
 
 def stretches(text: str) -> list[tuple[str, int]]:
@@ -98,12 +136,13 @@ def stretches(text: str) -> list[tuple[str, int]]:
                 out.append(("".join(codes), width))
                 codes, width = [], 0
             continue
+        first = token[0]
         if token == "\n":
             if len(codes) >= _STRETCH:
                 out.append(("".join(codes), width))
                 codes, width = [], 0
-        elif token.isalpha():
-            if "㐀" <= token <= "鿿":
+        elif first > "ɏ" and not "Ḁ" <= first <= "ỿ":
+            if "㐀" <= first <= "鿿":
                 width += 2
                 if token in _CHARACTERS:
                     codes.append("z")
@@ -111,12 +150,29 @@ def stretches(text: str) -> list[tuple[str, int]]:
                     codes.append(content(before + token) if before else "Z")
                     before = token
                     continue
+            elif "ぁ" <= first <= "ゟ":
+                width += 2 * len(token)
+                codes.append("z")
+            elif "가" <= first <= "힯":
+                width += 2 * len(token)
+                codes.append(content(token))
+                if len(token) > 1 and token[-1] in KOREAN_ENDINGS:
+                    codes.append("z")
+            elif "゠" <= first <= "ヿ" or "Ͱ" <= first <= "ӿ":
+                width += len(token) * (2 if first >= "゠" else 1)
+                codes.append(content(token.lower()))
+            elif first.isalpha():
+                width += len(token)
+                codes.append(_PLAIN_WORDS[content(token)])
             else:
                 width += len(token)
-                codes.append(content(token.lower()))
+                codes.append("D" if first.isalnum() else "~")
+        elif token.isalpha():
+            width += len(token)
+            codes.append(content(token.lower()))
         else:
             width += len(token)
-            codes.append("U" if token.startswith(("http", "www")) else "D" if token[0].isalnum() else "~")
+            codes.append("U" if token.startswith(("http", "www")) else "D" if first.isalnum() else "~")
         before = ""
     if codes:
         if out and len(codes) < _STRETCH // 2:
@@ -135,27 +191,68 @@ def is_prose(codes: str) -> bool:
     return words >= 8 * (1 + codes.count("U")) and function >= 0.2 * words and varied and codes.count("R") <= 0.1 * words
 
 
-def _encode(doc_id: str):
+_OTHER, _PROSE, _PLAIN, _ODD = 0, 1, 2, 3
+
+
+def kind_of(codes: str) -> int:
+    """Prose, or another stretch that the model judges; without known function words: plain, or odd by its repetitions, links and marks."""
+    plain = sum(codes.count(c) for c in "xyr")
+    if plain * 2 > len(codes) - codes.count("~") or plain > sum(codes.count(c) for c in _FUNCTION + "ZNMR"):
+        odd = codes.count("r") > 0.3 * plain or codes.count("U") * 8 > plain or plain * 2 < len(codes)
+        return _ODD if odd else _PLAIN
+    return _PROSE if is_prose(codes) else _OTHER
+
+
+_K = len(ALPHABET)
+_NUMBER = np.full(256, 255, np.uint8)
+_NUMBER[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(_K)
+_START = ALPHABET.index("^")
+_PACKED = ("codes", "lengths", "widths", "kinds", "stretches")
+
+
+def _trigrams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each class with the two before it in its stretch, stretch of each class)."""
+    stretch = np.repeat(np.arange(len(lengths)), lengths)
+    padded = np.full(len(codes) + 2 * len(lengths), _START, np.int64)
+    at = np.arange(len(codes)) + 2 * (stretch + 1)
+    padded[at] = codes
+    return (padded[at - 2] * _K + padded[at - 1]) * _K + padded[at], stretch
+
+
+def _pack(a: np.ndarray) -> bytes:
+    return zlib.compress(a.tobytes(), 3)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
+
+
+def _encode(doc_id: str, kind: pa.DataType):
+    """Chunks of pages: ids and packed classes; at the end of a task its counts of classes in prose, as rows without ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_K**3, np.int64)
+        names = ["ids", *_PACKED, "gram", "n"]
         for b in batches:
-            every = [stretches(t) if t else [] for t in b.column(1).to_pylist()]
-            codes = pa.array([[c for c, _ in s] for s in every], pa.list_(pa.string()))
-            widths = pa.array([[n for _, n in s] for s in every], pa.list_(pa.int32()))
-            yield pa.record_batch([b.column(0), codes, widths], names=[doc_id, "codes", "widths"])
+            for start in range(0, b.num_rows, _CHUNK):
+                part = b.slice(start, _CHUNK)
+                every = [stretches(t) if t else [] for t in part.column(1).to_pylist()]
+                flat = [s for page in every for s in page]
+                codes = _NUMBER[np.frombuffer("".join(c for c, _ in flat).encode("ascii"), np.uint8)]
+                lengths = np.fromiter((len(c) for c, _ in flat), np.uint32, len(flat))
+                kinds = np.fromiter((kind_of(c) for c, _ in flat), np.uint8, len(flat))
+                grams, of = _trigrams(codes, lengths)
+                counts += np.bincount(grams[kinds[of] == _PROSE], minlength=_K**3)
+                packed = [codes, lengths, np.fromiter((w for _, w in flat), np.uint32, len(flat)), kinds, np.fromiter(map(len, every), np.uint32, len(every))]
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.record_batch([ids, *(pa.array([_pack(a)], pa.binary()) for a in packed), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names=names)
+        seen = np.flatnonzero(counts)
+        n = len(seen)
+        yield pa.record_batch([pa.nulls(n, pa.list_(kind)), *(pa.nulls(n, pa.binary()) for _ in _PACKED), pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], names=names)
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    grams: Counter[tuple[str, str, str]] = Counter()
-    for b in batches:
-        for codes in b.column(0).flatten().to_pylist():
-            if is_prose(codes):
-                c = "^^" + codes
-                grams.update(zip(c, c[1:], c[2:], strict=False))
-    yield pa.record_batch([pa.array(["".join(g) for g in grams], pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
-
-
 def model_of(counts: dict[str, int], weight: float = 5.0) -> dict[tuple[str, str, str], float]:
     """Surprisal of every class after any two, interpolated with bigrams and single classes."""
     three, two, one = Counter(), Counter(), Counter()
@@ -182,38 +279,59 @@ def surprisal(model: dict[tuple[str, str, str], float], codes: str) -> float:
     return sum(map(model.__getitem__, zip(c, c[1:], c[2:], strict=False))) / max(1, len(codes))
 
 
+def _text_of(gram: int) -> str:
+    return ALPHABET[gram // _K // _K] + ALPHABET[gram // _K % _K] + ALPHABET[gram % _K]
+
+
 def score_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", deviations: float = 4.0) -> DataFrame:
     """(doc_id, odd_share): the share of each text in stretches of abnormal perplexity.
 
     Abnormal is more than ``deviations`` standard deviations from the mean of all prose
-    stretches.  NULL, empty and blank texts have a share of 0; texts of any length are read
+    stretches, twice as many for stretches shaped like prose, which may be of a rarer language.  NULL, empty and blank texts have a share of 0; texts of any length are read
     whole.  Without any prose among the documents there is nothing to compare with, and all
     shares are 0.  Rows that repeat are scored each.
     """
     kind = documents.schema[doc_id].dataType.simpleString()
-    encoded = spread(documents.select(doc_id, text)).mapInArrow(_encode(doc_id), f"`{doc_id}` {kind}, codes array<string>, widths array<int>")
-    encoded = checkpoint(encoded)
-    counts = encoded.select("codes").mapInArrow(_count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    pages = spread(documents.select(doc_id, text))
+    arrow = to_arrow_type(documents.schema[doc_id].dataType)
+    packed = ", ".join(f"{n} binary" for n in _PACKED)
+    encoded = checkpoint(pages.mapInArrow(_encode(doc_id, arrow), f"ids array<{kind}>, {packed}, gram int, n long"))
     # At most len(ALPHABET) ** 3 rows, a fixed number.
-    shared = documents.sparkSession.sparkContext.broadcast(model_of({r["gram"]: r["n"] for r in counts.collect()}))
+    counts = encoded.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    model = model_of({_text_of(r["gram"]): r["n"] for r in counts})
+    values = np.array([model[x, y, z] for x in ALPHABET for y in ALPHABET for z in ALPHABET], np.float64)
+    shared = documents.sparkSession.sparkContext.broadcast(values)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        """Chunks of pages with the perplexity of each stretch as a logarithm, and the sums over their prose."""
         for b in batches:
-            every = b.column(1).to_pylist()
-            values = pa.array([[surprisal(model, c) for c in s] for s in every], pa.list_(pa.float64()))
-            prose = pa.array([[is_prose(c) for c in s] for s in every], pa.list_(pa.bool_()))
-            yield pa.record_batch([b.column(0), values, prose, b.column(2)], names=[doc_id, "surprisals", "prose", "widths"])
-
-    scored = encoded.mapInArrow(score, f"`{doc_id}` {kind}, surprisals array<double>, prose array<boolean>, widths array<int>")
+            out = []
+            for row in b.select(list(_PACKED)).to_pylist():
+                lengths, kinds = _unpack(row["lengths"], np.uint32), _unpack(row["kinds"], np.uint8)
+                grams, of = _trigrams(_unpack(row["codes"], np.uint8), lengths)
+                mean = np.bincount(of, shared.value[grams], len(lengths)) / np.maximum(lengths, 1)
+                prose = mean[kinds == _PROSE]
+                out.append((_pack(mean.astype(np.float32)), row["widths"], row["kinds"], row["stretches"], len(prose), float(prose.sum()), float((prose**2).sum())))
+            kinds_ = (pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.record_batch([b.column("ids"), *(pa.array([o[i] for o in out], t) for i, t in enumerate(kinds_))], names=["ids", "means", "widths", "kinds", "stretches", "n", "s", "ss"])
+
+    scored = encoded.filter("ids is not null").mapInArrow(score, f"ids array<{kind}>, means binary, widths binary, kinds binary, stretches binary, n long, s double, ss double")
     scored = checkpoint(scored)
-    each = scored.select(F.explode(F.arrays_zip("surprisals", "prose")).alias("s")).filter("s.prose").select("s.surprisals")
-    mean, deviation = each.agg(F.avg("surprisals"), F.stddev_pop("surprisals")).first()
-    if mean is None:
-        return scored.select(doc_id, F.lit(0.0).alias("odd_share"))
-    odd = F.zip_with("surprisals", "widths", lambda s, w: F.when(F.abs(s - mean) > deviations * deviation, w).otherwise(0))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, w: acc + w)
-    return scored.select(doc_id, F.coalesce(F.try_divide(total(odd), total(F.col("widths"))), F.lit(0.0)).alias("odd_share"))
+    n, total, squares = scored.agg(F.sum("n"), F.sum("s"), F.sum("ss")).first()
+    mean = total / n if n else 0.0
+    far = deviations * math.sqrt(max(0.0, squares / n - mean * mean)) if n else math.inf
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, row in enumerate(b.select(["means", "widths", "kinds", "stretches"]).to_pylist()):
+                kinds, widths, per_page = _unpack(row["kinds"], np.uint8), _unpack(row["widths"], np.uint32), _unpack(row["stretches"], np.uint32)
+                limit = np.where(kinds == _PROSE, 2 * far, far)
+                odd = np.where(kinds >= _PLAIN, kinds == _ODD, np.abs(_unpack(row["means"], np.float32) - mean) > limit)
+                page = np.repeat(np.arange(len(per_page)), per_page)
+                whole, bad = np.bincount(page, widths, len(per_page)), np.bincount(page, widths * odd, len(per_page))
+                yield pa.record_batch([b.column("ids")[i].values, pa.array(bad / np.maximum(whole, 1), pa.float64())], names=[doc_id, "odd_share"])
+
+    return scored.select("ids", "means", "widths", "kinds", "stretches").mapInArrow(judge, f"`{doc_id}` {kind}, odd_share double")
 
 
 def find_spam(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", deviations: float = 4.0) -> DataFrame:

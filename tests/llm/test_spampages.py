@@ -55,3 +55,42 @@ def test_classes():
     model = S.model_of({"^^a": 3, "^aN": 3, "aN.": 3})
     assert S.surprisal(model, "aN.") < S.surprisal(model, "UUU")
     assert len(model) == len(S.ALPHABET) ** 3
+
+
+ABROAD = {
+    "ja": "この代理は、まず手元の記録に全ての出来事を書き込みます。接続が戻ると、数百行ずつ収集器へ送られ、元の時刻のままで受け付けられます。同じ行が二度届くこともありますが、二つ目は無視されます。",
+    "ko": "프록시는 모든 이벤트를 먼저 로컬 기록에 저장합니다. 연결이 돌아오면 기록을 수백 줄씩 수집기로 보내고, 수집기는 원래 시각 그대로 받아들입니다. 같은 줄이 두 번 도착할 수도 있지만 두 번째는 무시됩니다.",
+    "ru": "Прокси сначала записывает каждое событие в местный журнал. Когда связь возвращается, он отправляет журнал частями по нескольку сотен строк, и сборщик принимает их с исходным временем. Некоторые строки могут прийти дважды, но вторая копия не учитывается.",
+    "ar": "يكتب الوكيل كل حدث أولا في سجل محلي. عندما يعود الاتصال يرسل السجل على دفعات من مئات الأسطر، ويقبلها المجمع بوقتها الأصلي. قد تصل بعض الأسطر مرتين ولكن النسخة الثانية تهمل دائما.",
+    "pl": "Proxy najpierw zapisuje każde zdarzenie w lokalnym dzienniku. Gdy połączenie wraca, wysyła dziennik w paczkach po kilkaset wierszy, a kolektor przyjmuje je z ich pierwotnym czasem. Niektóre wiersze mogą przyjść dwa razy, ale druga kopia nie jest liczona.",
+    "hi": "प्रॉक्सी पहले हर घटना को स्थानीय लॉग में लिखता है। जब कनेक्शन वापस आता है तो वह लॉग को कुछ सौ पंक्तियों के समूहों में भेजता है और संग्राहक उन्हें मूल समय के साथ स्वीकार करता है।",
+}
+
+
+def test_prose_of_other_languages_and_scripts_is_no_spam(spark):
+    rng = random.Random(2)
+    texts = {f"ok{i}": prose(rng, 3) for i in range(60)} | ABROAD
+    texts |= {"bad-ar": "رخيص وكيل رمز، " * 40, "bad-ko": "무료 할당 도구, " * 60, "bad-ru": "дешёвый прокси токен, " * 50, "bad-ja": "無料トークン, 格安プロキシ, " * 40}
+    got = {r["doc_id"] for r in S.find_spam(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert got == {"bad-ar", "bad-ko", "bad-ru", "bad-ja"}
+
+
+def test_packed_scores_are_those_of_each_stretch(spark):
+    texts, _ = pages()
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    counts = {}
+    every = {k: S.stretches(t) for k, t in texts.items()}
+    for page in every.values():
+        for codes, _ in page:
+            if S.kind_of(codes) == S._PROSE:
+                c = "^^" + codes
+                for g in zip(c, c[1:], c[2:]):
+                    counts["".join(g)] = counts.get("".join(g), 0) + 1
+    model = S.model_of(counts)
+    values = [S.surprisal(model, c) for page in every.values() for c, _ in page if S.kind_of(c) == S._PROSE]
+    mean = sum(values) / len(values)
+    far = 4 * (sum(v * v for v in values) / len(values) - mean * mean) ** 0.5
+    for r in S.score_pages(df).collect():
+        page = every[r["doc_id"]]
+        odd = sum(w for c, w in page if abs(S.surprisal(model, c) - mean) > far * (1 + (S.kind_of(c) == S._PROSE)))
+        assert abs(r["odd_share"] - odd / max(1, sum(w for _, w in page))) < 1e-6
