@@ -30,13 +30,20 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(f"[^{INVISIBLE}]")
 
 
-def messages(df: DataFrame, carry: list[str]) -> DataFrame:
-    """One row per user or assistant message with ``role`` and ``text``; system messages and blank texts are left out."""
+def messages(df: DataFrame, carry: list[str], blanks: bool = False) -> DataFrame:
+    """One row per user or assistant message with ``role`` and ``text``; system messages and blank texts are left out.
+
+    With ``blanks``, a row without any text counts as a message of either role with a blank text: it may end a turn.
+    """
     both = F.array(
         F.struct(F.lit("user").alias("role"), F.col("user_text").alias("text")),
         F.struct(F.lit("assistant").alias("role"), F.col("assistant_text").alias("text")),
     )
-    return df.select(*carry, F.explode(both).alias("m")).select(*carry, "m.role", "m.text").filter(~is_blank(F.col("text")))
+    said = ~is_blank(F.col("text"))
+    if blanks:
+        df = df.withColumn("__empty", is_blank(F.col("user_text")) & is_blank(F.col("assistant_text")))
+        said = said | F.col("__empty")
+    return df.select(*carry, *(["__empty"] if blanks else []), F.explode(both).alias("m")).select("*", "m.role", "m.text").filter(said).drop("m", "__empty")
 
 
 def fold_turns(log: DataFrame, turn: list[str], version: list[Column] | None = None, deleted: Column | None = None) -> DataFrame:
@@ -125,21 +132,34 @@ def conversations(ordered: DataFrame, keys: list[str]) -> tuple[DataFrame, DataF
     return parts.select(*keys, "part", "offset"), whole.select(*keys, "turns", valid.alias("valid"))
 
 
-def rebuild(df: DataFrame, keys: list[str], event_id: str, created_at: str, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+def rebuild(
+    df: DataFrame, keys: list[str], event_id: str, created_at: str, texts: bool = True,
+    version: list[str] | None = None, deleted: str | None = None, edits: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """(turns of the valid conversations, every conversation with its number of turns and validity).
 
     Rows whose session (the second of ``keys``) is NULL or '' belong to no conversation;
     NULLs in the other keys are values like any other.  Rows equal in event id, time, role
-    and text are one turn.  A NULL time comes first; equal times go by event id, user before
-    assistant, then by text.  A conversation without a message left has 0 turns and is not
+    and text are deliveries of one turn and fold into that of the greatest ``version`` (NULL smallest); with ``edits``, rows
+    equal in event id and role are versions of one turn, of which the last one gives time and text.  A turn whose last version has
+    ``deleted`` true is gone, and so is one that was edited to a blank text.  A NULL time comes first; equal times go by
+    event id, user before assistant, then by text.  A conversation without a message left has 0 turns and is not
     valid.  Further columns are ignored.  With ``texts`` False, texts are compared by digest
     and not returned.
     """
     named = df.filter(F.col(keys[1]) != "")
-    m = messages(named, [*keys, event_id, created_at])
+    log = [*(version or []), *([deleted] if deleted else [])]
+    log = named.select(*keys, event_id, created_at, "user_text", "assistant_text", *(F.col(c).alias(f"__{i}") for i, c in enumerate(log)))
+    carried = [c for c in log.columns if c.startswith("__")]
+    m = messages(log, [*keys, event_id, created_at, *carried], blanks=edits)
     if not texts:
-        m = m.withColumn("text", F.unhex(F.md5("text")))
-    turns = fold_turns(m, m.columns)
+        # NULL stands for a blank text.
+        m = m.withColumn("text", F.when(~is_blank(F.col("text")), F.unhex(F.md5("text"))))
+    turn = [*keys, event_id, "role"] if edits else [*keys, event_id, created_at, "role", "text"]
+    by = [F.col(f"__{i}") for i in range(len(version or []))]
+    turns = fold_turns(m, turn, by or None, F.col(carried[-1]) if deleted else None).drop(*carried)
+    if edits:
+        turns = turns.filter(~is_blank(F.col("text")) if texts else F.col("text").isNotNull())
     ordered = ordered_turns(turns, keys, [created_at, event_id])
     offsets, whole = conversations(ordered, keys)
     every = named.select(*keys, F.lit(0).cast("long").alias("turns"), F.lit(False).alias("valid")).distinct()

@@ -15,13 +15,13 @@ _CONVERSATION = ["org_id", "session_id", "owner_account_id"]
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "conversation_messages")
-    _, whole = conversations.rebuild(m, _CONVERSATION, "event_id", "created_at", texts=False)
+    _, whole = conversations.rebuild(m, _CONVERSATION, "event_id", "created_at", texts=False, version=["source_seq"])
     return whole.filter("not valid").select(*_CONVERSATION)
 
 
 def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "conversation_messages")
-    turns, _ = conversations.rebuild(m, _CONVERSATION, "event_id", "created_at")
+    turns, _ = conversations.rebuild(m, _CONVERSATION, "event_id", "created_at", version=["source_seq"])
     return turns.select(*_CONVERSATION, F.col("turn").cast("bigint").alias("turn"), "role", "text")
 
 

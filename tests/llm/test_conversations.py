@@ -82,3 +82,23 @@ def test_folding_by_version(spark):
 
     got = conversations.fold_turns(log.select("turn", "v", "text", F.col("gone").alias("removed")), ["turn"], [F.col("v")], F.col("removed"))
     assert {(r["turn"], r["text"]) for r in got.collect()} == {("t1", "new"), ("t3", "y")}
+
+
+def test_rebuilding_with_retries_edits_and_deletes(spark):
+    keys = ("o", "s1", "w")
+    late = lambda n: T + dt.timedelta(minutes=n)
+    rows = [
+        ("a", *keys, late(0), "old question", None, 1, False), ("a", *keys, late(0), "new question", None, 2, False), ("a", *keys, late(0), "new question", None, 2, False),
+        ("b", *keys, late(1), None, "answer", 3, None), ("b", *keys, late(1), None, "answer", None, None),
+        ("c", *keys, late(2), "taken back", None, 4, False), ("c", *keys, late(2), "taken back", None, 5, True),
+        ("d", *keys, late(3), "emptied", None, 6, False), ("d", *keys, late(3), None, " ", 7, False),
+        ("e", "o", "s2", "w", late(0), "no reply", None, 1, False),
+    ]
+    df = spark.createDataFrame(rows, "event_id string, org_id string, session_id string, owner_account_id string, created_at timestamp, user_text string, assistant_text string, v long, gone boolean")
+    for texts in (True, False):
+        turns, found = conversations.rebuild(df, KEYS, "event_id", "created_at", texts, version=["v"], deleted="gone", edits=True)
+        assert {(r["session_id"], r["turns"], r["valid"]) for r in found.collect()} == {("s1", 2, True), ("s2", 1, False)}
+        if texts:
+            assert [(r["turn"], r["role"], r["text"]) for r in turns.orderBy("turn").collect()] == [(0, "user", "new question"), (1, "assistant", "answer")]
+    _, found = conversations.rebuild(df, KEYS, "event_id", "created_at", version=["v"])
+    assert {(r["session_id"], r["turns"]) for r in found.collect()} == {("s1", 5), ("s2", 1)}
