@@ -123,8 +123,7 @@ def p4_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     ods = table(spark, d, "usage_event_ods")
-    kept = idindex.kept_deliveries(ods, _event_id(), "ods_id", "ingest_received_at")
-    return ods.select("ods_id").join(kept, "ods_id", "left_anti")
+    return idindex.deliveries(ods, _event_id(), "ods_id", "ingest_received_at").filter("not first").select("ods_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

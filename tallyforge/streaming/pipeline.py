@@ -3,9 +3,12 @@ what is stored and what arrived, and a repeated batch id changes nothing."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructField, StructType
 
 from tallyforge.operators import kslack
 from tallyforge.operators.idindex import IdentifierIndex, named
@@ -17,6 +20,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _fields(ddl: str) -> list[StructField]:
+    return StructType.fromDDL(ddl).fields
+
+
 def write_once(df: DataFrame, path: str, batch_id: int) -> None:
     """One folder a batch, replaced if the batch is repeated."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -35,10 +42,14 @@ class DedupStream:
         self.parts = parts or [normal_id("org_id"), normal_id("event_id")]
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        run = self.index.add(batch, self.parts, self.row_id, [self.order], merge_every=8, batch_id=batch_id)
-        kept = self.index.kept_rows([run], self.row_id)
-        first = batch.filter(named(self.parts)).join(kept, self.row_id, "left_semi")
-        write_once(first.unionByName(batch.filter(~named(self.parts))), f"{self.root}/kept", batch_id)
+        """Kept rows are written before the batch counts as taken in: a failure anywhere between repeats both."""
+
+        def write(run: str) -> None:
+            kept = self.index.kept_rows([run], self.row_id)
+            first = batch.filter(named(self.parts)).join(kept, self.row_id, "left_semi")
+            write_once(first.unionByName(batch.filter(~named(self.parts))), f"{self.root}/kept", batch_id)
+
+        self.index.add(batch, self.parts, self.row_id, [self.order], merge_every=8, batch_id=batch_id, before=write)
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()
@@ -51,43 +62,68 @@ class KSlackStream:
     """K-slack over micro-batches: a buffer on disk, provisional totals while periods are open,
     final ones once the arrival clock has passed their release.
 
-    The clock is the largest arrival seen.  Buffer and clock of batch n are written under n,
-    so a repeated batch starts from the same state.
+    The clock is the largest arrival seen.  A batch appends its rows to the buffer, by period, and reads
+    only the periods it releases; provisional totals are added up from each batch's sums.  What batch n writes lies
+    under n and follows from what lies under smaller numbers, so a repeated batch changes
+    nothing.  Rows without an event or arrival time are set aside in ``undated``.
     """
 
     def __init__(self, spark: SparkSession, root: str, event_time: str, arrival: str, row_id: str, measure: str, state: str, lateness_days: int = 3) -> None:
         self.spark, self.root, self.lateness_days = spark, root, lateness_days
         self.event_time, self.arrival, self.row_id, self.measure, self.state = event_time, arrival, row_id, measure, state
 
-    def _latest(self, batch_id: int) -> int | None:
-        path = f"{self.root}/clock"
-        if not _exists(self.spark, path):
+    def _clock(self, batch_id: int) -> dt.datetime | None:
+        """The clock after the batches before this one."""
+        if not _exists(self.spark, f"{self.root}/clock"):
             return None
-        before = self.spark.read.parquet(path).filter(F.col("batch") < batch_id).agg(F.max("batch")).first()[0]
-        return before
+        return self.spark.read.schema("clock timestamp, batch int").parquet(f"{self.root}/clock").filter(F.col("batch") < batch_id).agg(F.max("clock")).first()[0]
+
+    def _buffer(self, schema: StructType, batch_id: int) -> DataFrame:
+        whole = StructType([*schema.fields, *_fields("batch int, period date")])
+        if not _exists(self.spark, f"{self.root}/buffer"):
+            return self.spark.createDataFrame([], whole)
+        return self.spark.read.schema(whole).parquet(f"{self.root}/buffer").filter(F.col("batch") < batch_id)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        last = self._latest(batch_id)
         columns = [self.event_time, self.arrival, self.row_id, self.measure, self.state]
         rows = batch.select(*columns)
-        clock = rows.agg(F.max(self.arrival)).first()[0]
-        if last is not None:
-            rows = rows.unionByName(self.spark.read.parquet(f"{self.root}/buffer/batch={last}"))
-            stored = self.spark.read.parquet(f"{self.root}/clock/batch={last}").first()[0]
-            clock = max((c for c in (clock, stored) if c is not None), default=None)
+        stored = self._clock(batch_id)
+        clock = max((c for c in (rows.agg(F.max(self.arrival)).first()[0], stored) if c is not None), default=None)
         marked = kslack.buffered(rows, self.event_time, self.arrival, self.lateness_days)
-        if last is not None and stored is not None:
+        if stored is not None:
             # What was received in time but comes in after its period was released changes nothing any more.
             gone = F.col("outcome").isNotNull() & (F.col("release_at") <= F.lit(stored))
             marked = marked.withColumn("outcome", F.when(gone, kslack.REJECTED).otherwise(F.col("outcome")))
         timely = marked.filter(F.col("outcome").isin(kslack.ON_TIME, kslack.CORRECTS))
-        due = F.col("release_at") <= F.lit(clock)
-        write_once(timely.filter(~due).select(*columns), f"{self.root}/buffer", batch_id)
+        write_once(marked.filter("outcome is null").select(*columns), f"{self.root}/undated", batch_id)
         write_once(marked.filter(F.col("outcome") == kslack.REJECTED), f"{self.root}/rejected", batch_id)
-        write_once(kslack.final_totals(timely.filter(due), self.event_time, self.row_id, self.measure, self.state), f"{self.root}/final", batch_id)
-        provisional = timely.filter(~due).groupBy("period").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(self.measure), F.lit(0)).alias(self.measure))
+        release = F.date_add("period", 1 + self.lateness_days).cast("timestamp")
+        due = F.col("release_at") <= F.lit(clock)
+        timely.filter(~due).select(*columns, "period").write.mode("overwrite").partitionBy("period").parquet(f"{self.root}/buffer/batch={batch_id}")
+        since = F.lit(True) if stored is None else release > F.lit(stored)
+        held = self._buffer(rows.schema, batch_id).filter((release <= F.lit(clock)) & since).select(*columns)
+        released = kslack.buffered(held, self.event_time, self.arrival, self.lateness_days).unionByName(timely.filter(due))
+        write_once(kslack.final_totals(released, self.event_time, self.row_id, self.measure, self.state), f"{self.root}/final", batch_id)
+        sums = timely.groupBy("period").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(self.measure), F.lit(0)).cast("long").alias(self.measure))
+        write_once(sums, f"{self.root}/sums", batch_id)
+        every = self.spark.read.schema(StructType([*sums.schema.fields, *_fields("batch int")])).parquet(f"{self.root}/sums").filter(F.col("batch") <= batch_id)
+        is_open = (release > F.lit(clock)) if clock is not None else F.lit(True)
+        provisional = every.filter(is_open).groupBy("period").agg(F.sum("events").alias("events"), F.sum(self.measure).alias(self.measure))
         write_once(provisional, f"{self.root}/provisional", batch_id)
-        write_once(self.spark.range(1).select(F.lit(clock).alias("clock")), f"{self.root}/clock", batch_id)
+        write_once(self.spark.range(1).select(F.lit(clock).cast("timestamp").alias("clock")), f"{self.root}/clock", batch_id)
+        if stored is not None:
+            self._forget(stored)
+
+    def _forget(self, stored: dt.datetime) -> None:
+        """Delete the buffered rows of periods that earlier batches have released."""
+        glob = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/buffer/batch=*/period=*")
+        fs = glob.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        # A day more, as the clock comes back in the driver's own time zone.
+        last = (stored - dt.timedelta(days=2 + self.lateness_days)).date()
+        for found in fs.globStatus(glob) or []:
+            name = found.getPath().getName().removeprefix("period=")
+            if name[:4].isdigit() and dt.date.fromisoformat(name) <= last:
+                fs.delete(found.getPath(), True)
 
     def start(self, stream: DataFrame) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/checkpoint").trigger(availableNow=True).start()

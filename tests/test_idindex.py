@@ -144,3 +144,67 @@ def test_structured_streaming_end_to_end(spark, tmp_path):
     got = stream.kept().agg(F.count("*"), F.count_distinct("org_id", "event_id")).first()
     want = {(clean(r[1]), clean(r[2])) for r in rows}
     assert got[0] == len(want)
+
+
+def test_every_batch_repeated_after_merges_and_failures_between_writing_and_publishing(spark, tmp_path, monkeypatch):
+    stream = DedupStream(spark, f"file://{tmp_path}", "ods_id", "at", expected=1000)
+    rows = [(i, "o", f"e{i % 33}", T + dt.timedelta(minutes=i), 1, 2) for i in range(44)]
+    batch = lambda n: spark.createDataFrame(rows[n * 4 : n * 4 + 4], SCHEMA)
+    publish = idindex.IdentifierIndex._publish
+
+    def fails(*_):
+        raise OSError("lost")
+
+    for n in range(11):
+        monkeypatch.setattr(idindex.IdentifierIndex, "_publish", fails)
+        try:
+            stream.process(batch(n), n)
+        except OSError:
+            pass
+        monkeypatch.setattr(idindex.IdentifierIndex, "_publish", publish)
+        stream.process(batch(n), n)
+    for n in range(11):
+        stream.process(batch(n), n)
+    assert sorted(r["ods_id"] for r in stream.kept().collect()) == list(range(33))
+    names = {p.name for p in (tmp_path / "index").iterdir()}
+    assert not {"run-00000000", "run-00000003"} & names  # merged long ago
+    assert set(stream.index.runs()[1]) <= names and len(list((tmp_path / "index/manifest").glob("*.json"))) == idindex._KEPT_MANIFESTS
+
+
+def test_broadcast_and_cogroup_find_the_same(spark, monkeypatch):
+    rows = made(7)
+    want = brute(rows)
+    for limit in (0, 50, 10_000):
+        monkeypatch.setattr(idindex, "BROADCAST_IDS", limit)
+        assert kept(spark, rows, batches=4) == want
+
+
+def test_a_small_batch_shuffles_none_of_the_index(spark, tmp_path):
+    index = idindex.IdentifierIndex(spark, f"file://{tmp_path}", 4)
+    index.add(spark.createDataFrame(made(8, 400), SCHEMA), parts(), "ods_id", ["at"])
+    ids = spark.createDataFrame([(5, 5), (-7, 1)], "hi long, lo long")
+    plan = index._known(ids, 2, index.runs()[1], index._manifest())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PushedFilters: [In(prefix" in plan
+
+
+def test_prefixes_are_split_when_the_index_outgrows_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idindex, "_IDS_PER_PREFIX", 1)
+    index = idindex.IdentifierIndex(spark, f"file://{tmp_path}", 1)
+    rows = [(i, "o", f"e{i}", T, 1, 2) for i in range(120)]
+    for limit in (0, 10_000):
+        monkeypatch.setattr(idindex, "BROADCAST_IDS", limit)
+        for n in range(6):
+            index.add(spark.createDataFrame(rows[n * 20 : n * 20 + 20], SCHEMA), parts(), "ods_id", ["at"], merge_every=2)
+    found = index._manifest()
+    assert max(found["bits"].values()) > 4
+    assert sorted(r["ods_id"] for r in index.kept_rows(found["runs"], "ods_id").collect()) == list(range(120))
+
+
+def test_older_larger_runs_are_left_alone(spark, tmp_path):
+    index = idindex.IdentifierIndex(spark, f"file://{tmp_path}", 4)
+    rows = [(i, "o", f"e{i}", T, 1, 2) for i in range(20_060)]
+    index.add(spark.createDataFrame(rows[:20_000], SCHEMA), parts(), "ods_id", ["at"], merge_every=2)
+    for n in range(3):
+        index.add(spark.createDataFrame(rows[20_000 + n * 20 : 20_020 + n * 20], SCHEMA), parts(), "ods_id", ["at"], merge_every=2)
+    assert index.runs()[1][0] == "run-00000000"
+    assert index.kept_rows(index.runs()[1], "ods_id").count() == 20_060

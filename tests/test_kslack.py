@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from tallyforge.operators import kslack
 from tallyforge.plans import core_queries
 from tallyforge.streaming.pipeline import KSlackStream
@@ -111,3 +113,19 @@ def test_p2_found_takes_its_outcomes_from_the_release(spark, monkeypatch):
     monkeypatch.setattr(kslack, "buffered", row_by_row)
     got, want = compare(spark, "/root/testdata/sf0.001", "p2_found", core_queries.p2_found, core_queries.oracle_sql()["p2_found"])
     assert got == want and {r[1] for r in want[1]} == {"corrects", "rejected"}
+
+
+def test_stream_appends_reads_what_it_releases_and_loses_no_row(spark, tmp_path):
+    data = sorted(rows(5, 300), key=lambda r: r[2]) + [(9001, None, T, 1, "ok", ""), (9002, T, None, 1, "ok", "")]
+    stream = KSlackStream(spark, str(tmp_path), "e", "a", "id", "v", "s")
+    for n in range(6):
+        stream.process(spark.createDataFrame(data[n::6], SCHEMA), n)
+        stream.process(spark.createDataFrame(data[n::6], SCHEMA), n)
+    end = (10_000, T + dt.timedelta(days=30), T + dt.timedelta(days=30), 1, "ok", "")
+    for n in (6, 7, 7):
+        stream.process(spark.createDataFrame([end], SCHEMA), n)
+    count = lambda name: spark.read.parquet(f"{tmp_path}/{name}").count()
+    final = stream.final().agg(F.sum("events")).first()[0]
+    assert count("undated") == 2 and final + count("rejected") + 2 == len(data)
+    assert {p.name for p in tmp_path.glob("buffer/batch=*/period=*")} == {"period=2025-03-31"}
+    assert spark.read.parquet(f"{tmp_path}/provisional/batch=7").agg(F.sum("events")).first()[0] == 2
