@@ -56,16 +56,34 @@ def on_days(p: QueryParams, day: str = "usage_date") -> Column:
 
 
 def identity(p: QueryParams) -> Column:
-    """Whose rows: everyone's locally, else a seat's, else personal ones of an account, in this order."""
+    """Whose rows: everyone's locally, else a seat's, else the personal ones, else an account's, in this order.
+
+    Personal rows are told by their organisation alone: they often carry no account.
+    """
     if p.local_all:
         return F.lit(True)
     if p.seat_id:
         return F.col("seat_id") == p.seat_id
     if p.org_id == "personal":
-        return (F.col("org_id") == "personal") & (F.col("account_id") == p.account_id)
+        return F.col("org_id") == "personal"
     return F.col("account_id") == p.account_id
 
 
+def raw_identity(p: QueryParams) -> Column:
+    """What :func:`identity` or the organisation of ``p`` implies for the raw event of a fact.
+
+    A fact copies organisation and account of its event, absent ones as ''; its seat may have been filled in from a
+    control event where the event named none, so events without a seat pass.
+    """
+    if p.local_all:
+        return F.lit(True)
+    if p.seat_id:
+        return or_empty("seat_id").isin(p.seat_id, "")
+    if p.org_id:
+        return F.col("org_id") == p.org_id
+    return or_empty("account_id") == p.account_id
+
+
 def amount(total: Column) -> Column:
     """A decimal total with eight places as double, divided once from a whole number."""
     return F.coalesce(as_double(total), F.lit(0.0))

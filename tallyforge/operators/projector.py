@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
@@ -64,7 +64,12 @@ def backlog(ods: DataFrame, fact: DataFrame) -> DataFrame:
 
 
 def pipeline_watermarks(ods: DataFrame, fact: DataFrame) -> DataFrame:
-    """Newest receipt and newest projection per organisation."""
+    """Newest receipt and newest projection per organisation; of canaries and business as a whole see ``health.watermarks``."""
     a = ods.groupBy("org_id").agg(C.millis(F.max("ingest_received_at")).alias("received_ms"))
     b = fact.groupBy("org_id").agg(C.millis(F.max("projected_at")).alias("projected_ms"))
     return a.join(b, "org_id", "full_outer")
+
+
+def vault_origin(key: str = "virtual_key_id") -> Column:
+    """Whether a key comes from a personal vault and has no control versions: told by its prefix."""
+    return F.coalesce(F.col(key).rlike("^(personal|oauth|app|probe):"), F.lit(False))

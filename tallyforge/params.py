@@ -55,6 +55,11 @@ class QueryParams:
         return since.date() - dt.timedelta(days=1), until.date() + dt.timedelta(days=1)
 
 
+def scope_all(deployment_is_local: bool, scope: str) -> bool:
+    """Whether everyone's rows may be asked for: only where the deployment is one person's own, whatever the request says."""
+    return deployment_is_local and scope == "all"
+
+
 def clamp(limit: int, default: int, most: int) -> int:
     """A page size: not positive means the default, and never above the most."""
     return default if limit <= 0 else min(limit, most)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
@@ -62,12 +60,32 @@ def audit_detail(rows: DataFrame, sort: str = "time", ascending: bool = False, l
     return export_columns(rows.orderBy(*order).offset(max(0, offset)).limit(clamp(limit, 1000, 5000)))
 
 
+# The columns of the audit row in their order; importers address them by place.
+AUDIT_ROW = (
+    "event_id event_ms occurred_ms usage_date billing_period account_id seat_id seat_alias provider_code model protocol_type route_source "
+    "virtual_key_id virtual_key_hash credential_id oauth_identity credential_fingerprint real_key_hash binding_id "
+    "input_tokens output_tokens cached_input_tokens cache_creation_input_tokens reasoning_tokens total_tokens "
+    "billable_amount currency pricing_snapshot_id quality_status validation_code anomaly_type completion_source content_hash source_id source_seq "
+    "fallback_attempt fallback_reason"
+).split()
+_NULLABLE = ("billable_amount", "source_seq", "fallback_attempt")  # NULL is a third state there
+_COUNTED = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_creation_input_tokens", "reasoning_tokens", "total_tokens")
+
+
 def export_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(
-        "dwd_id", "event_id", C.millis("event_time").alias("event_ms"), "account_id", "seat_id", C.or_empty("alias").alias("alias"), "virtual_key_id",
-        "provider_code", "model", "request_status", "input_tokens", "output_tokens", "total_tokens", C.as_double(F.col("billable_amount")).alias("amount"),
-        "currency", "fallback_attempt", C.or_empty("session_id").alias("session_id"), C.or_empty("app_slug").alias("app_slug"),
-    )
+    """The 37 columns of the audit row; absent texts are '', a column the table lacks is blank."""
+    of = {"event_ms": C.millis("event_time"), "usage_date": F.date_format("usage_date", "yyyy-MM-dd")}
+    of["occurred_ms"] = C.millis("occurred_at") if "occurred_at" in rows.columns else F.lit(None).cast("bigint")
+    of["seat_alias"] = C.or_empty("alias")
+
+    def column(name: str) -> Column:
+        if name in of:
+            return of[name]
+        if name not in rows.columns:
+            return F.lit(None).cast("bigint") if name in _NULLABLE else F.lit(0).cast("bigint") if name in _COUNTED else F.lit("")
+        return F.col(name) if name in _NULLABLE else F.coalesce(name, F.lit(0)) if name in _COUNTED else C.or_empty(name)
+
+    return rows.select(*(column(n).alias(n) for n in AUDIT_ROW))
 
 
 def audit_total(rows: DataFrame) -> DataFrame:
@@ -93,11 +111,24 @@ def audit_facets(fact: DataFrame, seats: DataFrame, p: QueryParams, most: int =
     return whole.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
 
 
-def audit_export(rows: DataFrame) -> Iterator[Row]:
-    """The whole list, newest first, one partition at a time on the driver."""
-    return export_columns(rows.orderBy(F.desc("event_time"), F.desc("dwd_id"))).toLocalIterator()
+def audit_export(rows: DataFrame) -> DataFrame:
+    """The whole list, newest first: sorted by ranges, so that it is written in order by many tasks (:func:`write_csv`)."""
+    return export_columns(rows.orderBy(F.desc("event_time"), F.desc("dwd_id")))
+
 
+def event_audit(fact: DataFrame, event_id: str, org_id: str | None = None) -> DataFrame:
+    """Every fact of one event: the amounts as they were set, with its prices as JSON where they are valid.
 
-def event_audit(fact: DataFrame, org_id: str, event_id: str) -> DataFrame:
-    """Every fact of one event."""
-    return fact.filter((F.col("org_id") == org_id) & (F.col("event_id") == event_id))
+    Event ids are unique within an organisation only: without one, all facts of the id are listed.
+    """
+    rows = fact.filter(F.col("event_id") == event_id)
+    rows = rows if org_id is None else rows.filter(F.col("org_id") == org_id)
+    texts = ("model", "provider_code", "currency", "billing_period", "region", "endpoint_url", "credential_id", "pricing_snapshot_id")
+    prices = F.lit(None).cast("string")
+    if "unit_prices_snapshot" in fact.columns:
+        given = F.nullif("unit_prices_snapshot", F.lit(""))
+        prices = F.when(F.try_parse_json(given).isNotNull(), given)
+    return rows.select(
+        "dwd_id", "org_id", "event_id", *((C.or_empty(t) if t in fact.columns else F.lit("")).alias(t) for t in texts),
+        C.as_double(F.col("billable_amount")).alias("billable_amount"), prices.alias("unit_prices"),
+    )

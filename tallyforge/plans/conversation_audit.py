@@ -11,6 +11,9 @@ from tallyforge.functions import columns as C
 from tallyforge.params import clamp
 
 
+MAX_SEAT_KEYS = 1000
+
+
 def seat_key() -> Column:
     return F.coalesce(F.nullif("seat_id", F.lit("")), F.col("owner_account_id"))
 
@@ -30,10 +33,15 @@ def seat_summaries(
     records: DataFrame, org_id: str, first: dt.date | None = None, last: dt.date | None = None,
     search: str = "", exact: list[str] | None = None, sort: str = "tokens", limit: int = 20, offset: int = 0,
 ) -> DataFrame:
-    """Seats with sessions, turns, bytes and tokens.  A search, even one that found no seats, restricts the list."""
+    """Seats with sessions, turns, bytes and tokens.
+
+    A search, even one that found no seats, restricts the list; more than 1000 exact keys are an error, never cut.
+    """
+    if exact is not None and len(exact) > MAX_SEAT_KEYS:
+        raise ValueError(f"at most {MAX_SEAT_KEYS} seat keys, not {len(exact)}: narrow the search")
     rows = _rows(records, org_id, first, last).withColumn("seat", seat_key())
     if exact is not None or search:
-        hit = F.col("seat").isin((exact or [])[:1000]) if exact else F.lit(False)
+        hit = F.col("seat").isin(exact) if exact else F.lit(False)
         rows = rows.filter(hit | (C.contains_text(F.col("seat"), search) if search else F.lit(False)))
     # Sessions are counted per (seat, session) first: partial sums, then one distinct key a row.
     per = rows.groupBy("seat", session_key().alias("session")).agg(
@@ -52,6 +60,17 @@ def seat_total(records: DataFrame, org_id: str, first: dt.date | None = None, la
     return _rows(records, org_id, first, last).agg(F.count_distinct(seat_key()).alias("n"))
 
 
+def session_total(records: DataFrame, org_id: str, seat: str, first: dt.date | None = None, last: dt.date | None = None) -> DataFrame:
+    """Number of a seat's sessions for paging."""
+    return _rows(records, org_id, first, last).filter(seat_key() == seat).agg(F.count_distinct(session_key()).alias("n"))
+
+
+def session_prompt(prompts: DataFrame, org_id: str, owner: str, session: str | None) -> DataFrame:
+    """One row: the stored prompt of a session as its own seat or account sees it, '' where there is none."""
+    hit = (F.col("org_id") == org_id) & (F.col("owner_account_id") == owner) & (F.col("session_id") == (session or ""))
+    return prompts.filter(hit).agg(F.coalesce(F.min("system_text"), F.lit("")).alias("system_text"))
+
+
 def session_summaries(
     records: DataFrame, org_id: str, seat: str, first: dt.date | None = None, last: dt.date | None = None, sort: str = "activity", limit: int = 20, offset: int = 0
 ) -> DataFrame:
@@ -83,13 +102,26 @@ def session_prompts(messages: DataFrame) -> DataFrame:
     return rows.groupBy("org_id", C.or_empty("session_id").alias("session_id")).agg(first.alias("f")).select("org_id", "session_id", "f.*")
 
 
-def markdown_sessions(records: DataFrame, org_id: str, seat: str) -> DataFrame:
-    """(file_name, body) of each session of a seat.  A file is one session: its turns meet in one row."""
+def _turns(records: DataFrame, org_id: str, seat: str) -> DataFrame:
     rows = records.filter((F.col("org_id") == org_id) & (seat_key() == seat))
     time = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss 'UTC'")
     turn = F.concat(F.lit("## "), time, F.lit("\n\n**User:** "), C.or_empty("user_text"), F.lit("\n\n**Assistant:** "), C.or_empty("assistant_text"), F.lit("\n"))
-    each = rows.select(session_key().alias("session"), F.struct("created_at", "event_id", turn.alias("turn")).alias("t"))
+    return rows.select(session_key().alias("session"), "created_at", "event_id", turn.alias("turn"))
+
+
+def _file_name() -> Column:
+    name = F.coalesce(F.nullif(F.regexp_replace("session", "[^A-Za-z0-9._-]", "_"), F.lit("")), F.lit("unknown"))
+    return F.concat(name, F.lit(".md"))
+
+
+def markdown_turns(records: DataFrame, org_id: str, seat: str) -> DataFrame:
+    """(file_name, created_at, event_id, text) of each turn, for ``write_threads``: sessions of any length."""
+    return _turns(records, org_id, seat).select(_file_name().alias("file_name"), "created_at", "event_id", F.col("turn").alias("text"))
+
+
+def markdown_sessions(records: DataFrame, org_id: str, seat: str) -> DataFrame:
+    """(file_name, body) of each session of a seat, its turns in one row: for sessions that fit a file to be read by people."""
+    each = _turns(records, org_id, seat).select("session", F.struct("created_at", "event_id", "turn").alias("t"))
     turns = F.sort_array(F.collect_list("t"))
     body = each.groupBy("session").agg(F.array_join(F.transform(turns, lambda t: t["turn"]), "\n").alias("turns"))
-    name = F.coalesce(F.nullif(F.regexp_replace("session", "[^A-Za-z0-9._-]", "_"), F.lit("")), F.lit("unknown"))
-    return body.select(F.concat(name, F.lit(".md")).alias("file_name"), F.concat(F.lit("# Session "), "session", F.lit("\n\n"), "turns").alias("body"))
+    return body.select(_file_name().alias("file_name"), F.concat(F.lit("# Session "), "session", F.lit("\n\n"), "turns").alias("body"))

@@ -108,8 +108,19 @@ def latest_agent_route(ods: DataFrame, seats: DataFrame, p: QueryParams) -> Data
 
 
 def agents_with_routes(fact: DataFrame, ods: DataFrame, seats: DataFrame, p: QueryParams) -> DataFrame:
-    """Usage per agent with its latest route; a seat with only one of the two still appears."""
-    return by_agent_total(fact, seats, p).join(latest_agent_route(ods, seats, p), "seat_id", "full_outer")
+    """Usage per agent with its latest route.
+
+    An agent whose latest request lies before the window has zero totals and its name; one without any
+    request keeps its totals.
+    """
+    routes = latest_agent_route(ods, seats, p)
+    agent = (F.coalesce("seat_type", F.lit("human")) != "human").alias("r_agent")
+    names = seats.groupBy("seat_id").agg(F.min(F.struct("alias", "seat_type", "parent_seat_id")).alias("s")).select("seat_id", "s.*")
+    names = names.select("seat_id", C.or_empty("alias").alias("r_alias"), agent, C.or_empty("parent_seat_id").alias("r_parent"))
+    out = by_agent_total(fact, seats, p).join(routes.join(names, "seat_id", "left"), "seat_id", "full_outer")
+    named = {"alias": F.coalesce("alias", "r_alias"), "is_agent": F.coalesce("is_agent", "r_agent"), "parent_seat_id": F.coalesce("parent_seat_id", "r_parent")}
+    zeros = {c: F.coalesce(c, F.lit(0).cast(t)) for c, t in out.dtypes if c in ("tokens", "requests", "cost_usd", "priced", "unpriced")}
+    return out.withColumns(named | zeros).drop("r_alias", "r_agent", "r_parent")
 
 
 def _identities(ods: DataFrame) -> DataFrame:
@@ -149,7 +160,10 @@ _DETAIL = {"model": "model", "key": "virtual_key_id", "session": "session_id", "
 
 
 def personal_detail(fact: DataFrame, ods: DataFrame, p: QueryParams, limit: int = 500) -> DataFrame:
-    """Single facts, newest first; error and timing are joined from the raw events after the limit."""
+    """Single facts, newest first; error and timing are joined from the raw events after the limit.  Unknown filters are an error."""
+    unknown = set(p.filters) - set(_DETAIL) - {"unpriced"}
+    if unknown:
+        raise ValueError(f"unknown filters: {sorted(unknown)}")
     more = [F.col(_DETAIL[k]) == v for k, v in p.filters.items() if k in _DETAIL]
     if p.filters.get("unpriced"):
         more.append(F.col("billable_amount").isNull())
@@ -209,6 +223,27 @@ def upstream_latency(ods: DataFrame, p: QueryParams, share: int = 95) -> DataFra
     return found.select(F.coalesce("p95", F.lit(0)).cast("bigint").alias("p95_ms"), F.coalesce("samples", F.lit(0)).cast("bigint").alias("samples"), F.lit(7).alias("window_days"))
 
 
+UNPRICED_STATUS = ("pending", "acknowledged", "fixed")
+
+
+def unpriced_list(state: DataFrame, status: str = "all") -> DataFrame:
+    """The stored list (model, provider, first_ms, last_ms, n, status), most frequent first; '' and ``all`` list every status."""
+    if status not in ("", "all", *UNPRICED_STATUS):
+        raise ValueError(f"status must be one of all, {', '.join(UNPRICED_STATUS)}, not {status!r}")
+    rows = state if status in ("", "all") else state.filter(F.col("status") == status)
+    return rows.orderBy(F.desc("n"), F.desc("last_ms"), "model", "provider")
+
+
+def set_unpriced_status(state: DataFrame, model: str, provider: str, status: str) -> DataFrame:
+    """The list with one model's status changed; a model that is not listed and an unknown status are errors."""
+    if status not in UNPRICED_STATUS:
+        raise ValueError(f"status must be one of {', '.join(UNPRICED_STATUS)}, not {status!r}")
+    hit = (F.col("model") == model) & (F.col("provider") == provider)
+    if state.filter(hit).isEmpty():
+        raise LookupError(f"{model!r} of {provider!r} is not listed")
+    return state.withColumn("status", F.when(hit, status).otherwise(F.col("status")))
+
+
 def unpriced_models(fact: DataFrame) -> DataFrame:
     """Models whose facts have no price: first and last seen, and how often."""
     rows = fact.filter(F.col("billable_amount").isNull() & (C.or_empty("model") != ""))
@@ -232,7 +267,8 @@ def quota_usage(fact: DataFrame) -> DataFrame:
     day = F.col("usage_date")
     week = F.format_string("weekly:%04d-W%02d", F.year(F.date_add(F.date_trunc("week", day).cast("date"), 3)), F.weekofyear(day))
     periods = F.array(F.concat(F.lit("daily:"), day.cast("string")), week, F.concat(F.lit("monthly:"), F.date_format(day, "yyyy-MM")))
-    spent = sum((F.coalesce(c, F.lit(0)) for c in ("input_tokens", "output_tokens", "cached_input_tokens", "cache_creation_input_tokens")), F.lit(0))
+    kinds = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_creation_input_tokens", "reasoning_tokens")
+    spent = sum((F.coalesce(c, F.lit(0)) for c in kinds), F.lit(0))
     daily = fact.filter(C.or_empty("seat_id") != "").groupBy("seat_id", "usage_date").agg(F.sum(spent).alias("tokens"), F.sum("billable_amount").alias("amount"))
     per = daily.select("seat_id", F.explode(periods).alias("period"), "tokens", "amount").groupBy("seat_id", "period")
     return per.agg(F.sum("tokens").cast("bigint").alias("tokens"), C.amount(F.sum("amount")).alias("amount"))

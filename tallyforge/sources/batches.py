@@ -23,6 +23,35 @@ EVENT = T.StructType(
 BATCH = T.StructType([T.StructField("subject", T.StringType()), T.StructField("allocated_seq", T.LongType()), T.StructField("events", T.ArrayType(EVENT))])
 
 
+_TURN_TEXT = (
+    "event_id org_id session_id owner_account_id seat_id virtual_key_id source_id model provider_code user_text assistant_text system_text request_status"
+).split()
+_TURN_LONGS = (
+    "source_seq input_tokens output_tokens cached_input_tokens cache_creation_input_tokens reasoning_tokens total_tokens duration_ms content_bytes created_at"
+).split()
+TURN = T.StructType(
+    [T.StructField(c, T.StringType()) for c in _TURN_TEXT] + [T.StructField(c, T.LongType()) for c in _TURN_LONGS] + [T.StructField("cache_enabled", T.BooleanType())]
+)
+TURN_BATCH = T.StructType([T.StructField("records", T.ArrayType(TURN))])
+
+
+def turns_of(batches: DataFrame) -> DataFrame:
+    """One row per conversation turn with ``pos``, its place in its batch; empty and too large batches as in :func:`events_of`."""
+    size = F.coalesce(F.size("records"), F.lit(0))
+    ok = F.when(size <= MAX_EVENTS, F.col("records"))
+    rows = batches.select((size > MAX_EVENTS).alias("too_large"), F.posexplode_outer(ok).alias("pos", "e")).filter(F.col("e").isNotNull() | F.col("too_large"))
+    out = rows.select("pos", F.when(F.col("too_large"), "more than 500 records").alias("batch_error"), "e.*")
+    return out.withColumn("created_at", F.when(F.col("created_at") != 0, F.timestamp_millis("created_at")))
+
+
+def read_turns(spark: SparkSession, path: str) -> DataFrame:
+    return turns_of(spark.read.schema(TURN_BATCH).json(path))
+
+
+def stream_turns(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    return turns_of(spark.readStream.schema(TURN_BATCH).option("maxFilesPerTrigger", files_per_trigger).json(path))
+
+
 def events_of(batches: DataFrame) -> DataFrame:
     """One row per event with ``pos``, its place in its batch.
 
