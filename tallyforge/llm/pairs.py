@@ -86,8 +86,11 @@ _NAMES = {name: lang for lang, names in LANGUAGE_NAMES.items() for name in names
 _CJK = re.compile(r"[㐀-鿿]")
 _CJK_NAMES = [(n, lang) for n, lang in _NAMES.items() if _CJK.search(n)]
 _END = ".!?。！？"
-_BREAK = {c: 2 for c in (*_END, "\n")} | {c: 1 for c in ";；:：,，"}
+_BREAK = frozenset((*_END, "\n", *";；:：,，"))
 _PIECE = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’][^\W\d_㐀-鿿]+)*|\d+(?:[.,:]\d+)*|[.!?。！？\n;；:：,，]")
+_MARKS = re.compile(r"(?:^| )[;；:：,，](?= |$)")
+_ENDS = re.compile(r"(?:^| )[.!?。！？\n](?= |$)")
+_DIGITS = frozenset("0123456789")
 _CONNECTIVES = frozenset("but however and aber doch mais cependant pero sin embargo 但 但是 et y und".split())
 _CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`", re.DOTALL)
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]*/?>")
@@ -118,19 +121,31 @@ def _grams(s: str) -> set[str]:
 
 def is_empty(answer: str | None) -> bool:
     """Nothing but blanks, invisible characters, punctuation and markup, or a stand-in for no value."""
-    if answer is None:
-        return True
-    s = _letters(_MARKUP.sub("", answer) if "<" in answer else answer)
-    return s in STAND_INS or not any(c.isalnum() for c in s)
+    return answer is None or _says_nothing(_letters(_MARKUP.sub("", answer) if "<" in answer else answer))
+
+
+def _says_nothing(letters: str) -> bool:
+    return letters in STAND_INS or not any(c.isalnum() for c in letters)
 
 
 def is_copy(question: str, answer: str) -> bool:
     """The answer says the question again and nothing else, by shared letter sequences in both directions."""
-    q, a = _grams(_letters(question)), _letters(answer)
-    if not a:
+    return _copies(_letters(question), _letters(answer), answer)
+
+
+def _copies(question: str, letters: str, answer: str) -> bool:
+    q = _grams(question)
+    if not letters:
         return False
+    # Most answers lack too much of the question, which is told without taking them apart.
+    spare = 0.25 * len(q)
+    for g in q:
+        if g not in letters:
+            spare -= 1
+            if spare < 0:
+                return False
     lead = _LEAD.match(answer)
-    for s, least in ((a, 0.65), (_letters(answer[lead.end() :]) if lead else "", 0.85)):
+    for s, least in ((letters, 0.65), (_letters(answer[lead.end() :]) if lead else "", 0.85)):
         g = _grams(s)
         shared = len(q & g)
         # Words of one's own may be few in number, too, however long the question is.
@@ -142,23 +157,17 @@ def is_copy(question: str, answer: str) -> bool:
 def _language(words: list[str], text: str) -> str | None:
     """The language of a text's pieces in lower case, or None if too little speaks for one."""
     scores: dict[str, float] = defaultdict(float)
-    n = han = 0
     for w in words:
         if w in _SAYS:
-            n += 1
             for lang, weight in _SAYS[w]:
                 scores[lang] += weight
-        elif w in _BREAK or w[0].isdigit():
-            continue
-        elif "㐀" <= w[0] <= "鿿":
-            han += 1
-            continue
-        else:
-            n += 1
-        if w[1:2] in "'’" and w[0] in "ldnscj" or w[:2] == "qu" and w[2:3] in "'’":
-            if len(w) > 2:
+    if "'" in text or "’" in text:
+        for w in words:
+            if len(w) > 2 and (w[1] in "'’" and w[0] in "ldnscj" or w[2] in "'’" and w[:2] == "qu"):
                 scores["fr"] += 1
-    if not text.isascii():
+    plain = text.isascii()
+    if not plain:
+        han = len(_CJK.findall(text))
         if _ANY_SCRIPT.search(text):
             seen = {lang: len(p.findall(text)) for lang, p in _SCRIPT.items()}
             if han and seen["ja"]:
@@ -166,17 +175,17 @@ def _language(words: list[str], text: str) -> str | None:
             most = max(seen, key=seen.__getitem__)
             if seen[most] >= 4 and seen[most] * 2 >= sum(c.isalpha() for c in text):
                 return most
-        if han >= 4 and han >= n:
+        if han >= 4 and han >= sum(w[0].isalpha() for w in words) - han:
             return "zh"
         for lang, chars in (("de", "äöüß"), ("es", "ñ¿¡"), ("fr", "çêèœ"), ("pt", "ãõ"), ("pl", "ąęłśżźć"), ("tr", "ğşı")):
             scores[lang] += sum(c in text for c in chars)
-    elif han >= 4 and han >= n:
-        return "zh"
     if not scores:
         return None
     best = max(scores, key=scores.__getitem__)
-    second = max((s for lang, s in scores.items() if lang != best), default=0)
-    return None if scores[best] < 1 or scores[best] < 1.4 * second or scores[best] < 0.05 * n else best
+    most = scores[best]
+    if most < 1 or any(1.4 * s > most for lang, s in scores.items() if lang != best):
+        return None
+    return best if most >= 0.05 * len(words) or most >= 0.05 * sum(w[0].isalpha() for w in words) else None
 
 
 def language_of(text: str) -> str | None:
@@ -192,50 +201,46 @@ def asks_for(question: str, language: str) -> bool:
     return any(_NAMES.get(w) == language for w in words) or any(lang == language and n in low for n, lang in _CJK_NAMES)
 
 
+def _clauses(line: str) -> list[str]:
+    out = []
+    for clause in _MARKS.split(line):
+        tokens = clause.split()
+        start = 0
+        while start < len(tokens) and tokens[start] in _CONNECTIVES:
+            start += 1
+        if start < len(tokens):
+            out.append(" ".join(tokens[start:]))
+    return out
+
+
 def _read(told: set[str], pieces: list[str]) -> tuple[list[list[str]], bool, list[str], list[str]]:
     """(lines of masked tokens, whether the last one ended, templates of the opening, clauses after it).
 
     Numbers become 0, the told words x.  The opening is the first sentences as one text, up to the one that
     completes 13 words: from then on (9 shingles) texts of which an outer word differs share 0.8 of their shingles.
     """
+    masked = " ".join([t if t not in told and t[0] not in _DIGITS else "x" if t in told else "0" for t in pieces])
+    parts = _ENDS.split(masked)
+    ended = not parts[-1].strip(" ;；:：,，")
     lines: list[list[str]] = []
-    line: list[str] = []
-    clause: list[str] = []
     opened: list[str] = []
-    opening: list[str] | None = []
     later: list[str] = []
-    into = opened
-    ended = True
-    for t in (*pieces, ""):
-        kind = _BREAK.get(t) if t else 3
-        if kind is None:
-            t = "0" if t[0].isdigit() else "x" if t in told else t
-            line.append(t)
-            clause.append(t)
+    opening: list[str] = []
+    for part in parts:
+        line = _MARKS.sub(" ", part).split()
+        if not line:
             continue
-        if clause:
-            start = 0
-            while start < len(clause) and clause[start] in _CONNECTIVES:
-                start += 1
-            if start < len(clause):
-                into.append(" ".join(clause[start:]))
-            clause = []
-        if kind >= 2 and line:
-            ended = kind == 2
-            lines.append(line)
-            if opening is not None:
-                opening += line
-                if len(opening) >= _OPENING or kind == 3:
-                    opened.append(" ".join(opening))
-                    opening, into = None, later
-            line = []
+        lines.append(line)
+        (opened if len(opening) < _OPENING else later).extend(_clauses(part))
+        if len(opening) < _OPENING:
+            opening += line
     if opening:
         opened.append(" ".join(opening))
     return lines, ended, list(dict.fromkeys(opened)), list(dict.fromkeys(later))
 
 
 def _told(words: list[str]) -> set[str]:
-    return {w for w in words if len(w) > 1 and w not in _FUNCTION and not w[0].isdigit()}
+    return {w for w in words if len(w) > 1 and w[0] not in _DIGITS} - _FUNCTION
 
 
 def templates(question: str, answer: str) -> set[str]:
@@ -313,12 +318,13 @@ _FACTS = ", ".join(f"{n} {_SQL[t]}" for n, t in _KINDS + _COUNTS)
 
 def _row(question: str, answer: str | None, numbers: _Numbers) -> tuple[dict, list[list[str]], bool]:
     """A pair's facts, and the lines of its answer for the contexts."""
-    out = dict.fromkeys((n for n, _ in _KINDS), None) | {"empty": is_empty(answer), "copied": False, "open": False, "cut": False, "foreign": False}
-    if out["empty"]:
-        return out, [], True
+    out = dict.fromkeys((n for n, _ in _KINDS), None) | {"empty": False, "copied": False, "open": False, "cut": False, "foreign": False}
+    letters = "" if answer is None else _letters(_MARKUP.sub("", answer) if "<" in answer else answer)
+    if _says_nothing(letters):
+        return out | {"empty": True}, [], True
     asked, said = _PIECE.findall(question.lower()), _PIECE.findall(answer.lower())
     lines, ended, opened, later = _read(_told(asked), said)
-    out["copied"] = is_copy(question, answer)
+    out["copied"] = _copies(_letters(question), _letters(answer) if "<" in answer else letters, answer)
     if out["copied"]:
         return out, lines, ended
     out["cut"] = cut_by_form(answer)
@@ -437,7 +443,7 @@ def _with_a_word_masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     signed = lambda n: n - (1 << 64) if n >> 63 else n
     for b in batches:
         of, keys, own = [], [], []
-        for t in b.column(0).to_pylist():
+        for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             tokens = t.split()
             plain = sum(w != "x" for w in tokens)
             if plain < _LEAST_PLAIN:
@@ -454,20 +460,15 @@ def _with_a_word_masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             else:
                 own += [False] * len(found)
             keys += found
-            of += [_hash(t)] * len(found)
+            of += [name] * len(found)
         yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(of, pa.int64()), pa.array(own, pa.bool_())], names=["key", "of", "own"])
 
 
 def _masked_links(templates: DataFrame) -> DataFrame:
     """Links of templates that are equal once one word of the first is masked, as where only some prompts contain the word."""
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([pa.array([_hash(t) for t in b.column(0).to_pylist()], pa.int64()), b.column(0)], names=["of", "clause"])
-
-    forms = checkpoint(templates.mapInArrow(_with_a_word_masked, "key long, of long, own boolean"))
+    names = templates.select(F.xxhash64("clause").alias("of"), "clause")
+    forms = checkpoint(names.mapInArrow(_with_a_word_masked, "key long, of long, own boolean"))
     linked = forms.filter("not own").join(forms.filter("own").select("key", F.col("of").alias("center")), "key").select("of", "center")
-    names = checkpoint(templates.mapInArrow(named, "of long, clause string"))
     return linked.join(names, "of").select("clause", "center").join(names.select(F.col("of").alias("center"), F.col("clause").alias("cluster")), "center").select("clause", "cluster")
 
 
