@@ -19,28 +19,30 @@ def reject_reason() -> Column:
     return reason
 
 
-def dispositions(records: DataFrame, arrival: str, stored: DataFrame | None = None, pinned_org: str = "") -> DataFrame:
+def dispositions(records: DataFrame, arrival: str | list[str], stored: DataFrame | None = None, pinned_org: str = "") -> DataFrame:
     """Every record with ``disposition`` (rejected, duplicated, quarantined, accepted), ``reject_reason`` and ``conv_date``.
 
-    ``arrival`` is a unique number in the order of delivery.  The first delivery of an (event id, UTC day) is kept, one that is ``stored``
+    ``arrival`` names columns that are unique together and in the order of delivery.  The first delivery of an (event id, UTC day) is kept, one that is ``stored``
     or repeated is a duplicate.  A kept record whose (org, source, sequence number) belongs to an earlier event
     of another id is quarantined: stored and flagged.  ``pinned_org`` replaces the organisation, where a cluster serves one only.
     """
     rows = records.withColumn("org_id", F.lit(pinned_org)) if pinned_org else records
     rows = rows.withColumns({"reject_reason": reject_reason(), "conv_date": F.to_date("created_at")})
     good = rows.filter("reject_reason is null")
-    first = good.groupBy(*KEY).agg(F.min(arrival).alias("__first"))
+    order = F.struct(*([arrival] if isinstance(arrival, str) else arrival))
+    first = good.groupBy(*KEY).agg(F.min(order).alias("__first"))
     source = ["org_id", "source_id"]
-    claims = good.select(*source, "source_seq", "event_id", F.col(arrival).cast("long").alias("__at"))
+    claims = good.select(*source, "source_seq", "event_id", F.struct(F.lit(True).alias("new"), order.alias("order")).alias("__at"))
     if stored is not None:
         first = first.join(stored.select(*KEY).distinct().withColumn("__old", F.lit(True)), KEY, "left")
-        claims = claims.unionByName(stored.select(*source, "source_seq", "event_id", F.lit(-1).cast("long").alias("__at")))
+        earlier = F.struct(F.lit(False).alias("new"), F.lit(None).cast(claims.schema["__at"].dataType["order"].dataType).alias("order"))
+        claims = claims.unionByName(stored.select(*source, "source_seq", "event_id", earlier.alias("__at")))
     owners = seq_owners(claims, source, ["__at"]).select(*source, F.col("seq").alias("source_seq"), "owner")
     old = F.coalesce("__old", F.lit(False)) if stored is not None else F.lit(False)
     conflict = F.coalesce(F.col("owner") != F.col("event_id"), F.lit(False))
     fate = (
         F.when(F.col("reject_reason").isNotNull(), "rejected")
-        .when(old | (F.col(arrival) != F.col("__first")), "duplicated")
+        .when(old | (order != F.col("__first")), "duplicated")
         .when(conflict, "quarantined")
         .otherwise("accepted")
     )

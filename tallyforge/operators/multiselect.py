@@ -75,6 +75,19 @@ def _local_medians(stretches: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
     return each
 
 
+_LISTED, _SALTS = 10_000, 16
+
+
+def _beside(left: DataFrame, chosen: DataFrame, targets: int) -> DataFrame:
+    """Candidates with their target's pivots: broadcast for at most 10,000 targets (a few MB), or else joined on the
+    target and a salt, as one target may hold a third of the candidates."""
+    if targets <= _LISTED:
+        return left.join(F.broadcast(chosen), "target")
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("value"), F.lit(_SALTS)).cast("int"))
+    every = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return salted.join(every, ["target", "salt"]).drop("salt")
+
+
 def percentiles(counts: DataFrame, group: list[str], qs: list[float], pivots: int = 15) -> DataFrame:
     """The values at rank ceil(q * n) of each group.
 
@@ -91,6 +104,7 @@ def percentiles(counts: DataFrame, group: list[str], qs: list[float], pivots: in
         .withColumn("target", F.monotonically_increasing_id())
     )
     state = checkpoint(state)
+    targets = state.count()
     # State is (groups x percentiles) rows; whether it is broadcast is up to its measured size.
     s = state.select("target", "rank", *(F.col(g).alias(f"s_{i}") for i, g in enumerate(group)))
     same = [F.col(f"c.{g}").eqNullSafe(F.col(f"s_{i}")) for i, g in enumerate(group)]
@@ -108,7 +122,7 @@ def percentiles(counts: DataFrame, group: list[str], qs: list[float], pivots: in
         below_v = F.size(F.filter("pivots", lambda p: p < F.col("value")))
         slot = 2 * below_v + F.array_contains("pivots", F.col("value")).cast("int")
         counted = (
-            left.join(chosen, "target")
+            _beside(left, chosen, targets)
             .groupBy("target", slot.alias("slot"))
             .agg(F.sum("weight").alias("weight"), F.first("pivots").alias("pivots"), F.first("rank").alias("rank"), F.first("below").alias("below"))
         )

@@ -5,14 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import columns as C
 from tallyforge.operators import conversation_ingest, health, ingest, integrity, projector, sequences
 from tallyforge.params import QueryParams
 from tallyforge.plans import audit, conversation_audit, usage
-from tallyforge.runtime import table
+from tallyforge.runtime import checkpoint, table
 from tallyforge.sources.exports import csv_rows
 from tallyforge.sources.tables import facts, raw_events
 
@@ -535,8 +535,8 @@ def _conversations() -> None:
     def claims(s: SparkSession, d: str) -> DataFrame:
         """Records with arrival numbers; sequence numbers are folded, as the table has no conflicts, and some rows lack a status."""
         rows = records(s, d).withColumns({"source_seq": F.pmod("source_seq", F.lit(40)), "request_status": F.when(F.pmod("content_bytes", F.lit(53)) == 0, "").otherwise(F.col("request_status"))})
-        order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_at", "event_id", "source_seq", F.xxhash64(*rows.columns)))
-        return rows.withColumn("arrival", order)
+        # Fixed once, so that every use of the rows sees the same numbers.
+        return checkpoint(rows.withColumn("arrival", F.monotonically_increasing_id()))
 
     fates = """rows AS (SELECT *, source_seq % 40 AS claimed, CASE WHEN content_bytes % 53 = 0 THEN '' ELSE request_status END AS state, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day FROM conversation_records),
         good AS (SELECT * FROM rows WHERE coalesce(event_id, '') <> '' AND coalesce(org_id, '') <> '' AND created_at IS NOT NULL AND coalesce(state, '') <> ''),
@@ -544,7 +544,7 @@ def _conversations() -> None:
         firsts AS (SELECT DISTINCT event_id, day FROM good)"""
     _add(
         "conv_ingest_tally",
-        lambda s, d: ingest.tally(conversation_ingest.dispositions(claims(s, d), "arrival")),
+        lambda s, d: ingest.tally(conversation_ingest.dispositions(claims(s, d), ["created_at", "event_id", "arrival"])),
         f"""WITH {fates}, kept AS (SELECT f.event_id, any_value(g.org_id) AS org_id, any_value(g.source_id) AS source_id, any_value(g.claimed) AS claimed FROM firsts f JOIN good g USING (event_id, day) GROUP BY f.event_id, f.day)
           SELECT * FROM (SELECT 'rejected' AS disposition, (SELECT count(*) FROM rows) - (SELECT count(*) FROM good) AS n UNION ALL
             SELECT 'duplicated', (SELECT count(*) FROM good) - (SELECT count(*) FROM firsts) UNION ALL

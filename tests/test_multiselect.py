@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from tallyforge.operators import multiselect
 from tallyforge.operators.multiselect import merge_counts, percentiles, value_counts
 
 QS = [0.01, 0.5, 0.95, 1.0]
@@ -47,3 +48,10 @@ def test_days_combine_into_the_whole(spark):
     states = [value_counts(spark.createDataFrame(d, "g string, v double"), ["g"], "v") for d in days]
     got = {(r["g"], r["q"]): r["value"] for r in percentiles(merge_counts(*states, group=["g"]), ["g"], QS).collect()}
     assert got == brute(sum(days, []))
+
+
+def test_many_targets_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(multiselect, "_LISTED", 0)
+    rng = random.Random(8)
+    rows = [("hot", float(rng.randrange(3000))) for _ in range(2000)] + [("b", float(i)) for i in range(9)] + [(None, 1.0)]
+    assert run(spark, rows) == brute(rows)
