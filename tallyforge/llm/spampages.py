@@ -83,9 +83,11 @@ FUNCTION_CHARACTERS = "的了在是和也不就都而及与着或这那被把对
 KOREAN_ENDINGS = "은는이가을를에의로와과도만서다고며면지요게나까니든라"
 
 _MARKED = "\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0900-\u0963\u0966-\u0dff\u0e00-\u0e7f"  # letters with signs of their own
+_LETTER = "[^\\W_㐀-鿿぀-ヿ]"
 _TOKEN = re.compile(
-    rf"(?:https?://|www\.)[^\s)\]>]+|[ぁ-ゟ]+|[゠-ヿ]+|(?:[^\W_㐀-鿿぀-ヿ]|[{_MARKED}])+|[㐀-鿿]|\n|[^\w\s]"
+    rf"(?:https?://|www\.)[^\s)\]>]+|{_LETTER}+(?:[{_MARKED}]+{_LETTER}*)*|[ぁ-ゟ]+|[゠-ヿ]+|[㐀-鿿]|\n|[^\w\s]"
 )
+_ASCII_TOKEN = re.compile(r"(?:https?://|www\.)[^\s)\]>]+|[A-Za-z0-9]+|\n|[^\w\s]")
 _SENTENCE_END = ".!?。！？।؟"
 _MARKS = ",.:;()-|/<>[]*#\"'"
 ALPHABET = "apcovnqwzZNMRDU" + _MARKS + "~^xyr"
@@ -126,7 +128,7 @@ def stretches(text: str) -> list[tuple[str, int]]:
             seen[recent[-_NEAR - 1]] -= 1
         return "N" if times == 0 else "M" if times < _OFTEN else "R"
 
-    for token in _TOKEN.findall(text):
+    for token in (_ASCII_TOKEN if text.isascii() else _TOKEN).findall(text):
         code = known(token)
         if code is not None:
             width += len(token)
@@ -219,6 +221,22 @@ def _trigrams(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return (padded[at - 2] * _K + padded[at - 1]) * _K + padded[at], stretch
 
 
+def _kinds(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """``kind_of`` for many stretches at once."""
+    n = len(lengths)
+    stretch = np.repeat(np.arange(n), lengths)
+    counts = np.bincount(stretch * _K + codes, minlength=n * _K).reshape(n, _K)
+    of = lambda classes: counts[:, [ALPHABET.index(c) for c in classes]]
+    each = of(_FUNCTION)
+    function, content, plain = each.sum(axis=1), of("ZNMR").sum(axis=1), of("xyr").sum(axis=1)
+    words, links, often = function + content, of("U")[:, 0], of("R")[:, 0]
+    varied = ((each > 0).sum(axis=1) >= 3) | (each[:, -1] >= 3)
+    prose = (words >= 8 * (1 + links)) & (function >= 0.2 * words) & varied & (often <= 0.1 * words)
+    odd = (of("r")[:, 0] > 0.3 * plain) | (links * 8 > plain) | (plain * 2 < lengths)
+    unknown = (plain * 2 > lengths - of("~")[:, 0]) | (plain > words)
+    return np.where(unknown, np.where(odd, _ODD, _PLAIN), np.where(prose, _PROSE, _OTHER)).astype(np.uint8)
+
+
 def _pack(a: np.ndarray) -> bytes:
     return zlib.compress(a.tobytes(), 3)
 
@@ -240,7 +258,7 @@ def _encode(doc_id: str, kind: pa.DataType):
                 flat = [s for page in every for s in page]
                 codes = _NUMBER[np.frombuffer("".join(c for c, _ in flat).encode("ascii"), np.uint8)]
                 lengths = np.fromiter((len(c) for c, _ in flat), np.uint32, len(flat))
-                kinds = np.fromiter((kind_of(c) for c, _ in flat), np.uint8, len(flat))
+                kinds = _kinds(codes, lengths.astype(np.int64))
                 grams, of = _trigrams(codes, lengths)
                 counts += np.bincount(grams[kinds[of] == _PROSE], minlength=_K**3)
                 packed = [codes, lengths, np.fromiter((w for _, w in flat), np.uint32, len(flat)), kinds, np.fromiter(map(len, every), np.uint32, len(every))]

@@ -94,3 +94,18 @@ def test_packed_scores_are_those_of_each_stretch(spark):
         page = every[r["doc_id"]]
         odd = sum(w for c, w in page if abs(S.surprisal(model, c) - mean) > far * (1 + (S.kind_of(c) == S._PROSE)))
         assert abs(r["odd_share"] - odd / max(1, sum(w for _, w in page))) < 1e-6
+
+
+def test_kinds_of_many_stretches_are_those_of_each():
+    rng = random.Random(3)
+    texts, _ = pages()
+    codes = [c for t in [*texts.values(), *ABROAD.values(), "وكيل " * 30] for c, _ in S.stretches(t)]
+    codes += ["".join(rng.choice(S.ALPHABET) for _ in range(rng.randrange(1, 40))) for _ in range(500)]
+    numbers = S._NUMBER[S.np.frombuffer("".join(codes).encode(), S.np.uint8)]
+    assert S._kinds(numbers, S.np.array([len(c) for c in codes])).tolist() == [S.kind_of(c) for c in codes]
+
+
+def test_plain_letters_are_cut_alike_by_both_patterns():
+    texts, _ = pages()
+    for t in [*texts.values(), "a_b __ c1d www.x.example/a?b=(c) don't 3.5% [x](http://y)"]:
+        assert t.isascii() and S._TOKEN.findall(t) == S._ASCII_TOKEN.findall(t)
