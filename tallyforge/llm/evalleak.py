@@ -65,6 +65,20 @@ def _key(word: str) -> str:
     return word if word.isalnum() else "".join(c for c in word if c.isalnum())
 
 
+class _Ids(dict):
+    """Word as written to its number in a vocabulary, 0 if unknown; emptied now and then, as it follows from the vocabulary."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        number = self[word] = self.vocabulary.get(_key(word), 0)
+        return number
+
+
 def words(text: str | None) -> list[str]:
     """Words without case, punctuation, spacing, markup and labels; dates, times and hyphenated words are one word."""
     text = _plain(text or "")
@@ -263,13 +277,16 @@ def _leaks(index: EvalIndex, ids: list[int], grams: np.ndarray, at: np.ndarray)
     return {t: s for t, s in found.items() if s}
 
 
-def _scan(index: EvalIndex, texts: list[str | None]) -> Iterator[tuple[int, str, dict[int, list[tuple[int, int]]]]]:
+def _scan(index: EvalIndex, texts: list[str | None], ids_of: _Ids) -> Iterator[tuple[int, str, dict[int, list[tuple[int, int]]]]]:
     """(row, text, spans as characters by text number) of the rows that leak; a batch's sequences are looked up together."""
-    vocabulary = index.vocabulary
     known, _, _ = index.grams()
-    every = [[vocabulary.get(w, 0) for w in words(t)] if t else [] for t in texts]
+    every = [[ids_of[w] for w in _WORD.findall(_plain(t))] if t else [] for t in texts]
     # A word unknown to the index keeps the documents apart.
-    flat = np.fromiter((i for ids in every for i in (*ids, 0)), np.int32)
+    together: list[int] = []
+    for ids in every:
+        together += ids
+        together.append(0)
+    flat = np.array(together, np.int32)
     grams = _gram_numbers(flat)
     if not len(known) or not len(grams):
         return
@@ -303,10 +320,11 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
+            ids_of = _Ids(index.vocabulary)
             types = pa.struct([("begin", pa.int32()), ("until", pa.int32())])
             for batch in batches:
                 rows, ids, spans = [], [], []
-                for row, _, hits in _scan(index, batch.column(1).to_pylist()):
+                for row, _, hits in _scan(index, batch.column(1).to_pylist(), ids_of):
                     by_item: dict[int, set[tuple[int, int]]] = defaultdict(set)
                     for number, found in hits.items():
                         for item in index.items[number]:
@@ -349,9 +367,10 @@ def clean(documents: DataFrame, items: DataFrame, text: str = "text") -> DataFra
         shared = documents.sparkSession.sparkContext.broadcast(block)
 
         def cut(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids_of = _Ids(shared.value.vocabulary)
             for batch in batches:
                 texts = batch.column(at).to_pylist()
-                for row, whole, hits in _scan(shared.value, list(texts)):
+                for row, whole, hits in _scan(shared.value, list(texts), ids_of):
                     texts[row] = _without(whole, [s for found in hits.values() for s in found])
                 columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(batch.columns)]
                 yield pa.record_batch(columns, names=batch.schema.names)
