@@ -98,6 +98,7 @@ _BLANK = re.compile(r"[\W_]+")
 _LEAD = re.compile(r"[^:：\n]{1,60}[:：\n]")
 _OPENING = 13
 _LEAST_LINKED = 8  # two different texts under so many words (4 shingles) cannot share 0.8 of their shingles
+_ID = "__pair"
 _LEAST_PLAIN = 4  # words that are not masked, for templates that differ in a masked word
 # Share of its topic words that a prompt has in common with another one on average: of one topic, and of any.
 _OF_TOPIC, _OF_ALL = 0.35, 0.07
@@ -366,7 +367,7 @@ def _context_counts(batch: list[tuple[list[list[str]], bool]], numbers: _Numbers
     return found.view(np.int64), np.column_stack([np.bincount(where[f == k], minlength=len(found)) for k in range(3)]) if len(found) else np.zeros((0, 3), int)
 
 
-def _facts(pair_id: str, kind: pa.DataType | None = None):
+def _facts(pair_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Numbers()
         names = [pair_id, *(n for n, _ in _KINDS + _COUNTS)]
@@ -545,12 +546,12 @@ def find_defects(df: DataFrame, pair_id: str = "event_id", question: str = "user
     copied, truncated, refusal, other_language.  An empty table gives no rows.
     """
     pairs = df.filter(F.col(pair_id).isNotNull() & ~is_blank(F.col(question)))
-    pairs = pairs.groupBy(pair_id).agg(F.min(F.struct(F.col(question).alias("q"), F.col(answer).alias("a"))).alias("p")).select(pair_id, "p.q", "p.a")
-    kind = pairs.schema[pair_id].dataType.simpleString()
-    facts = checkpoint(pairs.mapInArrow(_facts(pair_id), f"`{pair_id}` {kind}, {_FACTS}"))
-    rows = facts.filter(F.col(pair_id).isNotNull())
+    pairs = pairs.groupBy(pair_id).agg(F.min(F.struct(F.col(question).alias("q"), F.col(answer).alias("a"))).alias("p")).select(F.col(pair_id).alias(_ID), "p.q", "p.a")
+    kind = pairs.schema[_ID].dataType.simpleString()
+    facts = checkpoint(pairs.mapInArrow(_facts(_ID), f"`{_ID}` {kind}, {_FACTS}"))
+    rows = facts.filter(F.col(_ID).isNotNull())
 
-    open_ = rows.filter("open").select(pair_id, "tail", "stem", "loose", "lone")
+    open_ = rows.filter("open").select(_ID, "tail", "stem", "loose", "lone")
     wanted = open_.select(F.explode(F.array("tail", "stem")).alias("context")).distinct()
     contexts = facts.filter("context is not null").select("context", "goes", "ends", "bare").join(wanted, "context", "left_semi")
     contexts = checkpoint(contexts.groupBy("context").agg(*(F.sum(c).alias(c) for c in ("goes", "ends", "bare"))))
@@ -560,10 +561,10 @@ def find_defects(df: DataFrame, pair_id: str = "event_id", question: str = "user
     # Unknown last words: cut within a word if the words before them are known and mostly go on otherwise.
     within = (count("stem_goes") >= 5) & (count("tail_bare") * 2 < count("stem_goes"))
     cut: Column = F.when(~F.col("lone") & (known >= 1), count("tail_ends") * 2 < known).otherwise(F.col("loose") | within)
-    cut = open_.join(at("tail"), "tail", "left").join(at("stem"), "stem", "left").filter(cut).select(pair_id, F.lit(True).alias("cut_tail"))
+    cut = open_.join(at("tail"), "tail", "left").join(at("stem"), "stem", "left").filter(cut).select(_ID, F.lit(True).alias("cut_tail"))
 
-    declined = refusals(rows, pair_id).withColumn("declines", F.lit(True))
-    judged = rows.select(pair_id, "empty", "copied", "cut", "foreign").join(cut, pair_id, "left").join(declined, pair_id, "left")
+    declined = refusals(rows, _ID).withColumn("declines", F.lit(True))
+    judged = rows.select(_ID, "empty", "copied", "cut", "foreign").join(cut, _ID, "left").join(declined, _ID, "left")
     defect = (
         F.when(F.col("empty"), "empty")
         .when(F.col("copied"), "copied")
@@ -571,4 +572,4 @@ def find_defects(df: DataFrame, pair_id: str = "event_id", question: str = "user
         .when(F.coalesce("declines", F.lit(False)), "refusal")
         .when(F.col("foreign"), "other_language")
     )
-    return judged.select(pair_id, defect.alias("defect")).filter("defect is not null")
+    return judged.select(F.col(_ID).alias(pair_id), defect.alias("defect")).filter("defect is not null")

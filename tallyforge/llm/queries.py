@@ -39,6 +39,13 @@ def p8_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return evalleak.clean(documents, table(spark, d, "eval_items"))
 
 
+def p8_left_after_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    """How many leaks the cleaned documents still hold: none."""
+    items = table(spark, d, "eval_items")
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return evalleak.find_leaks(evalleak.clean(documents, items), items).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _source(c: str) -> Column:
     """A source without case, outer blanks, kinds of separators and a plural's s."""
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), r"[\s\-]+", "_"), "s$", "")
@@ -66,14 +73,23 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares_reached(mixed, targets, "source").join(F.broadcast(targets.select("source", "named")), "source").withColumn("source", F.col("named")).drop("named")
 
 
+def p9_shares_of_a_fixed_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The report on a mixture that SQL can state: characters for tokens, one to three copies by id."""
+    documents = table(spark, d, "documents").select("doc_id", _source("source").alias("source"), F.col("n_chars").alias("tokens"))
+    mixed = documents.withColumn("copies", (F.pmod("doc_id", F.lit(4))).cast("int")).filter("copies > 0")
+    targets = table(spark, d, "mix_targets").withColumn("source", _source("source"))
+    return mixing.shares_reached(mixed, targets, "source")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spampages.find_spam(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p8_found, p8_cleaned, p9_mixture, p9_shares, p10_found)}
+    return {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p8_found, p8_cleaned, p8_left_after_cleaning, p9_mixture, p9_shares, p9_shares_of_a_fixed_mixture, p10_found)}
 
 
+_SPELLED = r"regexp_replace(regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g'), 's$', '')"
 _TURNS = r"""
 named AS (SELECT * FROM conversation_messages WHERE session_id <> ''),
 turns AS (
@@ -95,4 +111,10 @@ def oracle_sql() -> dict[str, str]:
             FROM named n LEFT JOIN judged j ON {same} WHERE NOT coalesce(j.valid, false)""",
         "p6_conversations": f"""WITH {_TURNS} SELECT n.org_id, n.session_id, n.owner_account_id, n.n - 1 AS turn, n.role, n.text
             FROM numbered n JOIN judged j ON {same} AND j.valid""",
+        "p8_left_after_cleaning": "SELECT CAST(0 AS BIGINT) AS n",
+        "p9_shares_of_a_fixed_mixture": f"""WITH mixed AS (SELECT {_SPELLED} AS source, n_chars AS tokens, CAST(doc_id % 4 AS INT) AS copies FROM documents WHERE doc_id % 4 > 0),
+            used AS (SELECT source, count(*) AS documents, CAST(sum(tokens * copies) AS BIGINT) AS tokens, CAST(max(copies) AS BIGINT) AS most_copies FROM mixed GROUP BY 1),
+            t AS (SELECT {_SPELLED} AS source, target_share, max_repeats FROM mix_targets)
+          SELECT source, target_share, max_repeats, coalesce(documents, 0) AS documents, coalesce(tokens, 0) AS tokens, coalesce(most_copies, 0) AS most_copies,
+            coalesce(CAST(tokens AS DOUBLE) / CAST(sum(tokens) OVER () AS DOUBLE), 0) AS share FROM t LEFT JOIN used USING (source)""",
     }

@@ -139,3 +139,9 @@ def test_evidence_of_templates(spark):
     pooled = [("same", None, 3), ("same", 1, 3), ("same", 2, 3), ("apart", None, 3), *(("apart", w, 1) for w in range(9)), ("once", None, 1), ("once", 1, 1)]
     got = {r["k"]: r["evidence"] for r in P._evidence(spark.createDataFrame(pooled, "k string, word long, n long"), "k").collect()}
     assert got["same"] > P._SOME and got["apart"] < -P._SOME and got["once"] == 0
+
+
+def test_an_id_column_of_any_name(spark):
+    rows, want = table()
+    df = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("event_id", "context").withColumnRenamed("user_text", "words").withColumnRenamed("assistant_text", "tail")
+    assert {r["context"]: r["defect"] for r in P.find_defects(df, "context", "words", "tail").collect()} == want
