@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.operators import projector
-from tallyforge.plans import conversation_audit, usage
+from tallyforge.plans import audit, conversation_audit, usage
 from tallyforge.runtime import table
 from tallyforge.sources import batches, exports
 from tallyforge.streaming.projection import ConversationStream, ProjectionStream
@@ -121,3 +121,21 @@ def test_an_agent_whose_last_request_lies_before_the_window_keeps_its_name(spark
     assert (got["bot"]["alias"], got["bot"]["is_agent"], got["bot"]["parent_seat_id"], got["bot"]["tokens"], got["bot"]["requests"]) == ("Bot", True, "s", 0, 0)
     assert (got["s"]["tokens"], got["s"]["last_account"]) == (10, None)
     assert NOW.tzinfo
+
+
+def test_every_sort_of_the_audit_list(spark):
+    from decimal import Decimal
+
+    rows = [
+        {"model": "b", "provider_code": None, "total_tokens": 5, "billable_amount": None, "fallback_attempt": None, "quality_status": "x", "oauth_identity": "z"},
+        {"model": None, "provider_code": "p", "total_tokens": 9, "billable_amount": Decimal("0"), "fallback_attempt": 2, "quality_status": None, "oauth_identity": None},
+        {"model": "a", "provider_code": "q", "total_tokens": 7, "billable_amount": Decimal("3"), "fallback_attempt": 1, "quality_status": "y", "oauth_identity": "y", "event_time": dt.datetime(2025, 3, 2)},
+    ]
+    f = fact(spark, rows).withColumns({"alias": F.when(F.col("dwd_id") == 0, "zed"), "invited_email": F.lit(None).cast("string")})
+    first = lambda sort, up: audit.audit_detail(f, sort, up, limit=1).first()["event_id"]
+    down = {"time": "e2", "seat": "e0", "identity": "e0", "provider": "e2", "model": "e0", "tokens": "e1", "cost": "e2", "quality": "e2", "failover": "e1", "unknown": "e2"}
+    assert {s: first(s, False) for s in down} == down
+    assert {s: first(s, True) for s in ("model", "cost", "failover", "provider")} == {"model": "e1", "cost": "e0", "failover": "e0", "provider": "e0"}
+    row = audit.export_columns(f).first()
+    assert len(row) == 37 and list(row.asDict()) == audit.AUDIT_ROW
+    assert row["fallback_attempt"] is None and row["virtual_key_hash"] == "" and row["source_seq"] is None
