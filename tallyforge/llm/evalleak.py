@@ -334,7 +334,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
                         ids.append(item)
                         spans.append([{"begin": a, "until": b} for a, b in sorted(found)])
                 if rows:
-                    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(ids, pa.int64()), pa.array(spans, pa.list_(types))], names=[doc_id, "item_id", "spans"])
+                    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(ids, pa.int64()), pa.array(spans, pa.list_(types))], names=[doc_id,
+                        "item_id", "spans"])
 
         parts.append(spread(documents.select(doc_id, text)).mapInArrow(scan, schema))
     if not parts:

@@ -330,7 +330,8 @@ def _row(question: str, answer: str | None, numbers: _Numbers) -> tuple[dict, li
         return out, lines, ended
     out["cut"] = cut_by_form(answer)
     s = (_MARKUP.sub("", answer) if "<" in answer else answer).rstrip(" \t\r\n\"'”’»*_>")
-    if not out["cut"] and s and s[-1] not in _END and not answer.rstrip().endswith(("```", "`", "|", "}", "]")) and lines and not (ended and not answer.endswith("\n")):
+    if not out["cut"] and s and s[-1] not in _END and not answer.rstrip().endswith(("```", "`", "|", "}",
+        "]")) and lines and not (ended and not answer.endswith("\n")):
         tokens = lines[-1]
         out |= {
             "open": True, "tail": _context(tokens[-3:], numbers), "stem": _context(tokens[-4:-1], numbers) if len(tokens) > 1 else None,
@@ -379,7 +380,8 @@ def _facts(pair_id: str):
             found, counts = _context_counts([(lines, ended) for _, lines, ended in read], numbers)
             n = len(found)
             yield pa.record_batch(
-                [pa.nulls(n, b.schema.field(0).type), *(pa.nulls(n, t) for _, t in _KINDS), pa.array(found, pa.int64()), *(pa.array(counts[:, k], pa.int64()) for k in range(3))], names=names
+                [pa.nulls(n, b.schema.field(0).type), *(pa.nulls(n, t) for _, t in _KINDS), pa.array(found, pa.int64()), *(pa.array(counts[:, k],
+                    pa.int64()) for k in range(3))], names=names
             )
 
     return run
@@ -454,7 +456,8 @@ def _with_a_word_masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 whole = (whole + numbers[w] * power) & _U64
                 powers.append(power)
                 power = power * _RADIX & _U64
-            found = [signed((whole + (numbers["x"] - numbers[w]) * p) & _U64) for w, p in zip(tokens, powers, strict=True) if w != "x"] if plain > _LEAST_PLAIN else []
+            found = [signed((whole + (numbers["x"] - numbers[w]) * p) & _U64) for w, p in zip(tokens, powers,
+                strict=True) if w != "x"] if plain > _LEAST_PLAIN else []
             if len(tokens) > plain:
                 found.append(signed(whole))
                 own += [False] * (len(found) - 1) + [True]
@@ -470,7 +473,8 @@ def _masked_links(templates: DataFrame) -> DataFrame:
     names = templates.select(F.xxhash64("clause").alias("of"), "clause")
     forms = checkpoint(names.mapInArrow(_with_a_word_masked, "key long, of long, own boolean"))
     linked = forms.filter("not own").join(forms.filter("own").select("key", F.col("of").alias("center")), "key").select("of", "center")
-    return linked.join(names, "of").select("clause", "center").join(names.select(F.col("of").alias("center"), F.col("clause").alias("cluster")), "center").select("clause", "cluster")
+    return linked.join(names, "of").select("clause", "center").join(names.select(F.col("of").alias("center"), F.col("clause").alias("cluster")),
+        "center").select("clause", "cluster")
 
 
 def cluster_templates(templates: DataFrame) -> DataFrame:
@@ -503,7 +507,8 @@ def _evidence(pooled: DataFrame, key: str) -> DataFrame:
     """
     of_word = F.col("word").isNotNull()
     n = F.max(F.when(~of_word, F.col("n"))).cast("double")
-    sums = pooled.groupBy(key).agg(n.alias("n"), F.sum(F.when(of_word, F.col("n"))).alias("said"), F.sum(F.when(of_word, F.col("n") * (F.col("n") - 1.0))).alias("twice"))
+    sums = pooled.groupBy(key).agg(n.alias("n"), F.sum(F.when(of_word, F.col("n"))).alias("said"), F.sum(F.when(of_word,
+        F.col("n") * (F.col("n") - 1.0))).alias("twice"))
     said, twice = (F.coalesce(c, F.lit(0)) for c in ("said", "twice"))
     evidence = twice / F.col("n") * math.log(_OF_TOPIC / _OF_ALL) - (F.col("n") - 1) * said / F.col("n") * (_OF_TOPIC - _OF_ALL)
     return sums.select(key, F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), evidence)).alias("evidence"))
@@ -525,7 +530,8 @@ def refusals(rows: DataFrame, pair_id: str) -> DataFrame:
     """(pair_id) of the answers that only decline, from the facts of all pairs."""
     rows = rows.filter("opened is not null")
     kinds = checkpoint(clause_kinds(rows))
-    each = F.explode(F.concat(F.transform("opened", lambda c: F.struct(c.alias("c"), F.lit(True).alias("first"))), F.transform("later", lambda c: F.struct(c.alias("c"), F.lit(False).alias("first")))))
+    each = F.explode(F.concat(F.transform("opened", lambda c: F.struct(c.alias("c"), F.lit(True).alias("first"))), F.transform("later",
+        lambda c: F.struct(c.alias("c"), F.lit(False).alias("first")))))
     said = rows.select(pair_id, each.alias("s")).select(pair_id, F.xxhash64("s.c").alias("template"), "s.first").join(kinds, "template")
     # A topic counts as said if its evidence is no weaker than that of the clauses that fit everything.
     topical = F.max("evidence") >= -F.min("evidence")
@@ -546,7 +552,8 @@ def find_defects(df: DataFrame, pair_id: str = "event_id", question: str = "user
     copied, truncated, refusal, other_language.  An empty table gives no rows.
     """
     pairs = df.filter(F.col(pair_id).isNotNull() & ~is_blank(F.col(question)))
-    pairs = pairs.groupBy(pair_id).agg(F.min(F.struct(F.col(question).alias("q"), F.col(answer).alias("a"))).alias("p")).select(F.col(pair_id).alias(_ID), "p.q", "p.a")
+    pairs = pairs.groupBy(pair_id).agg(F.min(F.struct(F.col(question).alias("q"), F.col(answer).alias("a"))).alias("p")).select(F.col(pair_id).alias(_ID), "p.q",
+        "p.a")
     kind = pairs.schema[_ID].dataType.simpleString()
     facts = checkpoint(pairs.mapInArrow(_facts(_ID), f"`{_ID}` {kind}, {_FACTS}"))
     rows = facts.filter(F.col(_ID).isNotNull())

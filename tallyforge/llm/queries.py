@@ -70,7 +70,8 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     mixed, targets = _mixed(spark, d)
-    return mixing.shares_reached(mixed, targets, "source").join(F.broadcast(targets.select("source", "named")), "source").withColumn("source", F.col("named")).drop("named")
+    return mixing.shares_reached(mixed, targets, "source").join(F.broadcast(targets.select("source", "named")), "source").withColumn("source",
+        F.col("named")).drop("named")
 
 
 def p9_shares_of_a_fixed_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +87,8 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p8_found, p8_cleaned, p8_left_after_cleaning, p9_mixture, p9_shares, p9_shares_of_a_fixed_mixture, p10_found)}
+    return {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p8_found, p8_cleaned, p8_left_after_cleaning, p9_mixture, p9_shares,
+        p9_shares_of_a_fixed_mixture, p10_found)}
 
 
 _SPELLED = r"regexp_replace(regexp_replace(lower(trim(source)), '[\s\-]+', '_', 'g'), 's$', '')"
@@ -112,8 +114,10 @@ def oracle_sql() -> dict[str, str]:
         "p6_conversations": f"""WITH {_TURNS} SELECT n.org_id, n.session_id, n.owner_account_id, n.n - 1 AS turn, n.role, n.text
             FROM numbered n JOIN judged j ON {same} AND j.valid""",
         "p8_left_after_cleaning": "SELECT CAST(0 AS BIGINT) AS n",
-        "p9_shares_of_a_fixed_mixture": f"""WITH mixed AS (SELECT {_SPELLED} AS source, n_chars AS tokens, CAST(doc_id % 4 AS INT) AS copies FROM documents WHERE doc_id % 4 > 0),
-            used AS (SELECT source, count(*) AS documents, CAST(sum(tokens * copies) AS BIGINT) AS tokens, CAST(max(copies) AS BIGINT) AS most_copies FROM mixed GROUP BY 1),
+        "p9_shares_of_a_fixed_mixture": f"""WITH mixed AS (SELECT {_SPELLED} AS source, n_chars AS tokens, CAST(doc_id % 4 AS INT) AS copies FROM documents
+            WHERE doc_id % 4 > 0),
+            used AS (SELECT source, count(*) AS documents, CAST(sum(tokens * copies) AS BIGINT) AS tokens, CAST(max(copies) AS BIGINT) AS most_copies FROM mixed
+                GROUP BY 1),
             t AS (SELECT {_SPELLED} AS source, target_share, max_repeats FROM mix_targets)
           SELECT source, target_share, max_repeats, coalesce(documents, 0) AS documents, coalesce(tokens, 0) AS tokens, coalesce(most_copies, 0) AS most_copies,
             coalesce(CAST(tokens AS DOUBLE) / CAST(sum(tokens) OVER () AS DOUBLE), 0) AS share FROM t LEFT JOIN used USING (source)""",
