@@ -61,7 +61,8 @@ class HistoryStore:
         """Append versions of one attribute; a batch id that is repeated replaces itself."""
         ranks = [p.alias(f"p{i}") for i, p in enumerate(log.priority)]
         times = [F.col(c).cast("timestamp").alias(n) for c, n in ((log.effective_from, "since"), (log.effective_to, "until"), (log.recorded_at, "recorded"))]
-        log.versions.select(F.col(log.key).alias("key"), *times, *ranks, log.value.alias("value")).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
+        log.versions.select(F.col(log.key).alias("key"), *times, *ranks,
+            log.value.alias("value")).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch_id}")
 
     def log(self, name: str) -> Attribute:
         """Everything appended to an attribute so far."""
@@ -95,7 +96,8 @@ def _numbered(versions: DataFrame) -> DataFrame:
     rows = rows.join(F.broadcast(chunks), "__chunk")
     after = F.coalesce("n", "h")
     same = (after["__key"] == F.col("__key")) & (after["__attr"] == F.col("__attr"))
-    return checkpoint(rows.select(*_OF, "__chunk", "__start", F.when(same, after["__start"]).alias("__end"), (F.col("offset") + F.col("__place")).cast("long").alias("__id")))
+    return checkpoint(rows.select(*_OF, "__chunk", "__start", F.when(same, after["__start"]).alias("__end"),
+        (F.col("offset") + F.col("__place")).cast("long").alias("__id")))
 
 
 def _resolved(versions: DataFrame, best: str) -> DataFrame:
@@ -159,7 +161,8 @@ def _log(number: int, log: Attribute, values: list[Column], micros, until: int)
 
 
 def match(
-    events: DataFrame, logs: dict[str, Attribute], *, key: str, event_time: str, row_id: str, bucket_days: int = 7, rows_per_task: int = 2_000_000, path: str | None = None
+    events: DataFrame, logs: dict[str, Attribute], *, key: str, event_time: str, row_id: str, bucket_days: int = 7, rows_per_task: int = 2_000_000,
+        path: str | None = None
 ) -> DataFrame:
     """Every event row with each attribute of ``logs`` as in effect and already recorded at its time.
 
@@ -190,7 +193,8 @@ def match(
     width = bucket_days * _DAY_US
     bucket = F.explode(F.sequence(F.floor(F.col("__start") / width).cast("int"), F.floor((F.col("__end") - 1) / width).cast("int")))
     path = path or shared_dir(spark, "histories")
-    cut = changes.select(*_OF, "__start", "__end", "__value", bucket.alias("__bucket")).withColumn("__start", F.greatest("__start", F.col("__bucket").cast("long") * width))
+    cut = changes.select(*_OF, "__start", "__end", "__value", bucket.alias("__bucket")).withColumn("__start", F.greatest("__start",
+        F.col("__bucket").cast("long") * width))
     cut.write.mode("overwrite").partitionBy("__attr").parquet(path)
     history = spark.read.schema(cut.schema).parquet(path)
 
@@ -212,7 +216,8 @@ def match(
     # A change comes before the events of its moment.  Each attribute looks for its own last change.
     past = Window.partitionBy(*on).orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = rows.unionByName(news)
-    last = {f"__last{i}": F.last(F.when(F.col("__attr") == i, F.struct("__end", F.col(f"__value.v{i}").alias("v"))), ignorenulls=True).over(past) for i in range(len(names))}
+    last = {f"__last{i}": F.last(F.when(F.col("__attr") == i, F.struct("__end", F.col(f"__value.v{i}").alias("v"))),
+        ignorenulls=True).over(past) for i in range(len(names))}
     found = both.withColumns(last).filter("__row is not null")
     columns = [F.when(F.col(f"__last{i}.__end") > F.col("__at"), F.col(f"__last{i}.v")).alias(n) for i, n in enumerate(names)]
     found = found.select(*([F.col(f"__row.`{c}`").alias(c) for c in kept]), *columns)

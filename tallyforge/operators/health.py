@@ -20,7 +20,8 @@ def watermarks(ods: DataFrame, fact: DataFrame) -> DataFrame:
     of = lambda c, condition: F.max(F.when(condition, F.unix_millis(c)))
     canary, business = F.col("org_id") == CANARY, F.col("org_id") != CANARY
     acked = canary & (F.col("dwd_status") == "projected") if "dwd_status" in ods.columns else F.lit(False)
-    raw = ods.agg(of("ingest_received_at", business).alias("business_received_ms"), of("ingest_received_at", canary).alias("canary_received_ms"), of("ingest_received_at", acked).alias("canary_projected_ms"))
+    raw = ods.agg(of("ingest_received_at", business).alias("business_received_ms"), of("ingest_received_at", canary).alias("canary_received_ms"),
+        of("ingest_received_at", acked).alias("canary_projected_ms"))
     done = fact.agg(of("projected_at", business).alias("business_projected_ms"))
     # Two single rows.
     return raw.join(F.broadcast(done), F.lit(True))

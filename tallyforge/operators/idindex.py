@@ -334,7 +334,8 @@ def deliveries(df: DataFrame, parts: list[Column], row_id: str, order: str, batc
     index = IdentifierIndex(spark, path or folder, IdentifierIndex.bits_for(n))
     batch = sum(((micros > e).cast("int") for e in edges), F.lit(0))
     hi, lo = identifier(parts)
-    staged = df.select(hi.alias("hi"), lo.alias("lo"), F.col(row_id).cast("long").alias("row"), micros.alias("at"), named(parts).alias("named"), F.coalesce(batch, F.lit(len(edges))).alias("batch"))
+    staged = df.select(hi.alias("hi"), lo.alias("lo"), F.col(row_id).cast("long").alias("row"), micros.alias("at"), named(parts).alias("named"), F.coalesce(batch,
+        F.lit(len(edges))).alias("batch"))
     staged.write.partitionBy("batch").parquet(f"{folder}/staged")
     staged = spark.read.schema("hi long, lo long, row long, at long, named boolean, batch int").parquet(f"{folder}/staged")
     runs = []

@@ -21,7 +21,8 @@ def reject_reason() -> Column:
 
 def content_hash() -> Column:
     """This package's own canonical hash: each field as its length and text, NULL apart from ''."""
-    parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in HASHED]
+    parts = [F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"),
+        F.col(c).cast("string"))) for c in HASHED]
     return F.concat(F.lit(SCHEME), F.sha2(F.concat_ws("\x1f", *parts), 256))
 
 

@@ -86,7 +86,8 @@ def source_completeness(
 def rollup(completeness: DataFrame) -> DataFrame:
     """One row: sources, those with a gap or silence, quarantined rows, and whether both are none.  Documented losses are healthy."""
     out = completeness.agg(
-        F.count(F.lit(1)).alias("sources"), F.count_if(F.col("status") != "ok").alias("gap_sources"), F.coalesce(F.sum("quarantined"), F.lit(0)).cast("bigint").alias("quarantined")
+        F.count(F.lit(1)).alias("sources"), F.count_if(F.col("status") != "ok").alias("gap_sources"), F.coalesce(F.sum("quarantined"),
+            F.lit(0)).cast("bigint").alias("quarantined")
     )
     return out.withColumn("healthy", (F.col("gap_sources") == 0) & (F.col("quarantined") == 0))
 
@@ -101,7 +102,8 @@ def unaccounted(watermarks: DataFrame, accounted: DataFrame, keys: list[str]) ->
     largest = accounted.groupBy(*keys).agg(F.max("seq").alias("top"))
     tail = marks.join(largest, keys, "left").select(*keys, "__from", "__to", (F.coalesce("top", F.lit(0)) + 1).alias("first_seq"), F.col("__to").alias("last_seq"))
     runs = sequences.gaps(accounted, keys).join(marks, keys).select(*keys, "__from", "__to", "first_seq", "last_seq").unionByName(tail)
-    return runs.select(*keys, F.greatest("first_seq", F.col("__from") + 1).alias("first_seq"), F.least("last_seq", "__to").alias("last_seq")).filter("first_seq <= last_seq")
+    return runs.select(*keys, F.greatest("first_seq", F.col("__from") + 1).alias("first_seq"), F.least("last_seq",
+        "__to").alias("last_seq")).filter("first_seq <= last_seq")
 
 
 def promote_losses(classified: DataFrame, accounted: DataFrame, keys: list[str], reason: str | None = None) -> DataFrame:
@@ -153,17 +155,20 @@ def gap_listing(watermarks: DataFrame, accounted: DataFrame, keys: list[str], li
     """
     limit = limit if 0 < limit <= MAX_LISTED else MAX_LISTED
     ceiling = F.greatest(F.coalesce("max_seen_seq", F.lit(0)), F.coalesce("client_allocated_seq", F.lit(0)))
-    span = watermarks.select(*keys, (F.coalesce("contiguous_seq", F.lit(0)) + limit).alias("__until"), (ceiling - F.coalesce("contiguous_seq", F.lit(0)) > limit).alias("truncated"))
+    span = watermarks.select(*keys, (F.coalesce("contiguous_seq", F.lit(0)) + limit).alias("__until"), (ceiling - F.coalesce("contiguous_seq",
+        F.lit(0)) > limit).alias("truncated"))
     runs = unaccounted(watermarks, accounted, keys).join(span, keys)
     runs = runs.withColumn("last_seq", F.least("last_seq", "__until")).filter("first_seq <= last_seq")
     return runs.select(*keys, F.explode(F.sequence("first_seq", "last_seq")).alias("seq"), "truncated")
 
 
-def watermarks_of(df: DataFrame, keys: list[str], seq: str = "source_seq", allocated: Column | None = None, event_time: str = "event_time", arrival: str = "ingest_received_at") -> DataFrame:
+def watermarks_of(df: DataFrame, keys: list[str], seq: str = "source_seq", allocated: Column | None = None, event_time: str = "event_time",
+    arrival: str = "ingest_received_at") -> DataFrame:
     """Watermarks from everything received: numbers, newest event and receipt; ``allocated`` is an aggregate of what clients say they handed out."""
     seqs = sequences.received(df, keys, seq)
     most = F.max(seq).cast("long") if allocated is None else allocated
-    times = df.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.max(event_time).alias("last_event_at"), F.max(arrival).alias("updated_at"), most.alias("client_allocated_seq"))
+    times = df.filter(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.max(event_time).alias("last_event_at"), F.max(arrival).alias("updated_at"),
+        most.alias("client_allocated_seq"))
     return sequences.contiguous(seqs, keys).join(times, keys)
 
 

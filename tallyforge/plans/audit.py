@@ -100,7 +100,8 @@ def audit_facets(fact: DataFrame, seats: DataFrame, p: QueryParams, most: int =
     """
     filtered = [d for d in FACETS if p.filters.get(d)]
     free = [d for d in FACETS if d not in filtered]
-    pairs = lambda rows, dims: rows.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(FILTERS[d]).alias("value")) for d in dims))).alias("x")).select("x.*")
+    pairs = lambda rows, dims: rows.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"),
+        F.col(FILTERS[d]).alias("value")) for d in dims))).alias("x")).select("x.*")
     out = [pairs(audit_rows(fact, seats, p), free)] if free else []
     out += [pairs(audit_rows(fact, seats, p, without=d), [d]) for d in filtered]
     whole = out[0]

@@ -76,7 +76,8 @@ def session_summaries(
 ) -> DataFrame:
     rows = _rows(records, org_id, first, last).filter(seat_key() == seat)
     out = rows.groupBy(session_key().alias("session")).agg(
-        C.millis(F.min("created_at")).alias("first_ms"), C.millis(F.max("created_at")).alias("last_ms"), F.count(F.lit(1)).alias("turns"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens")
+        C.millis(F.min("created_at")).alias("first_ms"), C.millis(F.max("created_at")).alias("last_ms"), F.count(F.lit(1)).alias("turns"),
+            F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("tokens")
     )
     by = {"created": "first_ms", "turns": "turns", "tokens": "tokens", "activity": "last_ms"}.get(sort, "last_ms")
     return out.orderBy(F.desc(by), F.desc("first_ms"), "session").offset(max(0, offset)).limit(clamp(limit, 20, 1000))

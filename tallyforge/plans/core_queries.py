@@ -127,7 +127,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_rolling_totals, p1_found, p2_found, p2_provisional_totals, p2_final_totals, p3_found, p3_percentiles, p4_found, p4_attributes, p5_found)}
+    return {f.__name__: f for f in (p1_rolling_totals, p1_found, p2_found, p2_provisional_totals, p2_final_totals, p3_found, p3_percentiles, p4_found, p4_attributes,
+        p5_found)}
 
 
 _KEPT = """
@@ -171,7 +172,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT seat_id, usage_date, CAST(t7 AS BIGINT) AS tokens_sum_7, CAST(t7 AS DOUBLE) / 7 AS tokens_avg_7,
               CAST(t30 AS BIGINT) AS tokens_sum_30, CAST(t30 AS DOUBLE) / 30 AS tokens_avg_30,
               CAST(CAST(a7 * 100000000 AS BIGINT) AS DOUBLE) / 1e8 AS amount_sum_7, CAST(CAST(a7 * 100000000 AS BIGINT) AS DOUBLE) / 7e8 AS amount_avg_7,
-              CAST(CAST(a30 * 100000000 AS BIGINT) AS DOUBLE) / 1e8 AS amount_sum_30, CAST(CAST(a30 * 100000000 AS BIGINT) AS DOUBLE) / 3e9 AS amount_avg_30 FROM totals""",
+              CAST(CAST(a30 * 100000000 AS BIGINT) AS DOUBLE) / 1e8 AS amount_sum_30, CAST(CAST(a30 * 100000000 AS BIGINT) AS DOUBLE) / 3e9 AS amount_avg_30
+                  FROM totals""",
         "p1_found": f"WITH {_DAILY} SELECT seat_id, usage_date FROM totals WHERE t7 = 0 AND t30 > 0",
         "p2_found": f"WITH {_KEPT} SELECT ods_id, outcome FROM buffered WHERE outcome <> 'on_time'",
         "p2_provisional_totals": f"""WITH {_KEPT}, steps AS (SELECT unnest(range(0, {LATENESS_DAYS + 1})) AS step),

@@ -145,7 +145,8 @@ def by_model_total(fact: DataFrame, p: QueryParams, top: int = 20) -> DataFrame:
 
 def by_session_total(fact: DataFrame, ods: DataFrame, p: QueryParams, top: int = 10) -> DataFrame:
     rows = personal(fact, p).join(_identities(ods), "virtual_key_id", "left")
-    samples = [F.min("virtual_key_id").alias("virtual_key_id"), F.max("virtual_key_alias").alias("alias"), F.max("identity").alias("identity"), F.max("app_slug").alias("app")]
+    samples = [F.min("virtual_key_id").alias("virtual_key_id"), F.max("virtual_key_alias").alias("alias"), F.max("identity").alias("identity"),
+        F.max("app_slug").alias("app")]
     out = rows.groupBy(C.or_empty("session_id").alias("session")).agg(*samples, *C.segments(), C.tokens(), C.requests())
     return out.orderBy(F.desc("tokens"), "session").limit(top)
 
@@ -153,7 +154,8 @@ def by_session_total(fact: DataFrame, ods: DataFrame, p: QueryParams, top: int =
 def personal_recent(ods: DataFrame, p: QueryParams, limit: int = 5) -> DataFrame:
     """The newest events, whenever they were; rows without a route source are left out like canaries."""
     rows = ods.filter(C.identity(p) & (F.col("route_source") != "canary"))
-    return rows.orderBy(F.desc("event_time"), F.desc("ods_id")).limit(clamp(limit, 5, 50)).select("ods_id", "event_id", "model", "request_status", "total_tokens", C.millis("event_time").alias("event_ms"))
+    return rows.orderBy(F.desc("event_time"), F.desc("ods_id")).limit(clamp(limit, 5, 50)).select("ods_id", "event_id", "model", "request_status", "total_tokens",
+        C.millis("event_time").alias("event_ms"))
 
 
 _DETAIL = {"model": "model", "key": "virtual_key_id", "session": "session_id", "app": "app_slug", "protocol": "protocol_type", "identity": "oauth_identity"}
@@ -168,7 +170,8 @@ def personal_detail(fact: DataFrame, ods: DataFrame, p: QueryParams, limit: int
     if p.filters.get("unpriced"):
         more.append(F.col("billable_amount").isNull())
     rows = fact.filter(C.both(C.identity(p), C.in_window(p), C.on_days(p), audit(), F.col("route_source") != "canary", *more))
-    page = rows.select("dwd_id", "ods_id", "event_id", "event_time", "model", "total_tokens").orderBy(F.desc("event_time"), F.desc("dwd_id")).limit(clamp(limit, 500, 1000))
+    page = rows.select("dwd_id", "ods_id", "event_id", "event_time", "model", "total_tokens").orderBy(F.desc("event_time"), F.desc("dwd_id")).limit(clamp(limit, 500,
+        1000))
     raw = ods.select("ods_id", "error_code", (C.millis("finished_at") - C.millis("started_at")).alias("latency_ms"))
     joined = page.join(raw, "ods_id", "left").withColumn("event_ms", C.millis("event_time"))
     return joined.orderBy(F.desc("event_time"), F.desc("dwd_id")).drop("event_time")
@@ -220,7 +223,8 @@ def upstream_latency(ods: DataFrame, p: QueryParams, share: int = 95) -> DataFra
     at = at.select("block", "samples", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("place"))
     inside = counts.join(at, "block").withColumn("upto", F.sum("n").over(everything.orderBy("ms")))
     found = inside.filter(F.col("upto") > F.col("place")).agg(F.min("ms").alias("p95"), F.max("samples").alias("samples"))
-    return found.select(F.coalesce("p95", F.lit(0)).cast("bigint").alias("p95_ms"), F.coalesce("samples", F.lit(0)).cast("bigint").alias("samples"), F.lit(7).alias("window_days"))
+    return found.select(F.coalesce("p95", F.lit(0)).cast("bigint").alias("p95_ms"), F.coalesce("samples", F.lit(0)).cast("bigint").alias("samples"),
+        F.lit(7).alias("window_days"))
 
 
 UNPRICED_STATUS = ("pending", "acknowledged", "fixed")

@@ -30,7 +30,8 @@ _TURN_LONGS = (
     "source_seq input_tokens output_tokens cached_input_tokens cache_creation_input_tokens reasoning_tokens total_tokens duration_ms content_bytes created_at"
 ).split()
 TURN = T.StructType(
-    [T.StructField(c, T.StringType()) for c in _TURN_TEXT] + [T.StructField(c, T.LongType()) for c in _TURN_LONGS] + [T.StructField("cache_enabled", T.BooleanType())]
+    [T.StructField(c, T.StringType()) for c in _TURN_TEXT] + [T.StructField(c, T.LongType()) for c in _TURN_LONGS] + [T.StructField("cache_enabled",
+        T.BooleanType())]
 )
 TURN_BATCH = T.StructType([T.StructField("records", T.ArrayType(TURN))])
 

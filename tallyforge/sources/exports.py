@@ -57,4 +57,5 @@ def write_threads(turns: DataFrame, path: str) -> None:
     Sorted by ranges: a long session is written by many tasks, its files follow each other by name.
     """
     order = ["file_name", "created_at", "event_id"]
-    turns.repartitionByRange(*order).sortWithinPartitions(*order).select("file_name", F.col("text").alias("value")).write.mode("overwrite").partitionBy("file_name").text(path)
+    turns.repartitionByRange(*order).sortWithinPartitions(*order).select("file_name",
+        F.col("text").alias("value")).write.mode("overwrite").partitionBy("file_name").text(path)
