@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.runtime import checkpoint, hot_keys
+
 REQUIRED = ("event_id", "org_id", "event_time", "occurred_at", "request_status")
 HASHED = ("event_id", "input_tokens", "cached_input_tokens", "cache_creation_input_tokens", "output_tokens", "total_tokens", "model")
 SCHEME = "sha256:tf1:"
@@ -41,17 +43,24 @@ def generates(raw_json: str = "raw_event_json") -> Column:
     return F.coalesce(hit, F.lit(True))
 
 
-def dispositions(df: DataFrame, row_id: str = "ods_id") -> DataFrame:
+def dispositions(df: DataFrame, row_id: str = "ods_id", rows_per_task: int = 2_000_000) -> DataFrame:
     """Every delivery with what became of it: rejected, quarantined, accepted, conflict or duplicate.
 
     The first delivery (smallest row id) of an (org, event id) is kept, a later one is a
     duplicate, or a conflict if both have a hash and these differ.  First deliveries are found
-    by a plain aggregation, so a message repeated in a third of all rows is no hot group there;
-    the join back is on the key and left to skew-join splitting.
+    by a plain aggregation and joined back on the key; those of messages with more than ``rows_per_task``
+    deliveries, of which there are at most rows / ``rows_per_task``, are broadcast, so a message repeated in a third of all rows is no hot group.
     """
+    keys = ["org_id", "event_id"]
     valid = df.withColumn("reject_reason", reject_reason())
     good = valid.filter(F.col("reject_reason").isNull())
-    first = good.groupBy("org_id", "event_id").agg(F.min(F.struct(row_id, "content_hash")).alias("__first"))
+    first = good.groupBy(*keys).agg(F.min(F.struct(row_id, "content_hash")).alias("__first"))
+    hot = checkpoint(hot_keys(good, keys, rows_per_task).select(*keys))
+    if hot.isEmpty():
+        joined = valid.join(first, keys, "left")
+    else:
+        often = F.broadcast(first.join(F.broadcast(hot), keys, "left_semi"))
+        joined = valid.join(F.broadcast(hot), keys, "left_anti").join(first, keys, "left").unionByName(valid.join(often, keys))
     hashes = (F.coalesce("__first.content_hash", F.lit("")), F.coalesce("content_hash", F.lit("")))
     differs = (hashes[0] != "") & (hashes[1] != "") & (hashes[0] != hashes[1])
     fate = (
@@ -60,7 +69,7 @@ def dispositions(df: DataFrame, row_id: str = "ods_id") -> DataFrame:
         .when((F.col("ingest_status") == "quarantined") | hash_mismatch(), "quarantined")
         .otherwise("accepted")
     )
-    return valid.join(first, ["org_id", "event_id"], "left").withColumn("disposition", fate).drop("__first")
+    return joined.withColumn("disposition", fate).drop("__first")
 
 
 def tally(disposed: DataFrame) -> DataFrame:

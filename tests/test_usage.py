@@ -150,6 +150,19 @@ def test_content_hash_quarantines_only_known_schemes(spark):
     assert got == {1: "accepted", 2: "accepted", 3: "quarantined", 4: "accepted"}
 
 
+def test_a_message_repeated_very_often_is_no_hot_group(spark):
+    columns = (
+        "ods_id long, event_id string, org_id string, event_time timestamp, occurred_at timestamp, request_status string, ingest_status string, content_hash string, "
+        "model string, input_tokens long, cached_input_tokens long, cache_creation_input_tokens long, output_tokens long, total_tokens long"
+    )
+    row = lambda i, e, h: (i, e, "o", NOW, NOW, "ok", "accepted", h, "m", 1, 2, 3, 4, None)
+    rows = [row(i, "hot", ["a", "b", None, ""][i % 4]) for i in range(40)] + [row(100 + i, f"e{i // 2}", "c") for i in range(20)] + [row(200, "", None), row(201, None, None)]
+    df = spark.createDataFrame(rows, columns)
+    whole, split = ({r["ods_id"]: r["disposition"] for r in ingest.dispositions(df, rows_per_task=n).collect()} for n in (10**6, 5))
+    assert whole == split and len(whole) == 62
+    assert [whole[i] for i in (0, 1, 2, 4, 100, 101, 200, 201)] == ["accepted", "conflict", "duplicate", "duplicate", "accepted", "duplicate", "rejected", "rejected"]
+
+
 def test_csv_export(spark, tmp_path):
     df = spark.createDataFrame([(1, None, 0, 1740787200123), (None, "", 5, None)], "n long, s string, latency_ms long, event_ms long")
     exports.write_csv(df, str(tmp_path / "csv"))
