@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.runtime import checkpoint
+
 ON_TIME, CORRECTS, REJECTED = "on_time", "corrects", "rejected"
 
 
@@ -112,7 +114,8 @@ def released(df: DataFrame, event_time: str, arrival: str, row_id: str, lateness
         if held:
             yield release(pd.concat(held))
 
-    replayed = arrivals.repartitionByRange("a", "id").sortWithinPartitions("a", "id").mapInPandas(replay, "id long, outcome string")
+    # Sampling for the ranges reads the arrivals once more than the replay.
+    replayed = checkpoint(arrivals).repartitionByRange("a", "id").sortWithinPartitions("a", "id").mapInPandas(replay, "id long, outcome string")
     return replayed.select(F.col("id").alias(row_id), "outcome")
 
 
